@@ -14,7 +14,7 @@ from functools import cache, partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from quire.llm.common import ship, slices
 from quire.llm.pieces import MODEL, SPACE, vocabulary, words
@@ -181,7 +181,7 @@ def encode(docs: DataFrame, name: str = MODEL) -> DataFrame:
     """docs with piece_ids array<int> added (in place of a column of that name); a null or empty text has none. All other columns pass through."""
     ship(docs.sparkSession)
     docs = docs.drop("piece_ids")
-    schema = docs.schema.add("piece_ids", "array<int>")
+    schema = T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(partial(encode_batches, name=name), schema)
 
 
