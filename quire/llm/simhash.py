@@ -200,7 +200,7 @@ def links(fps: DataFrame, within: int = 4, sample: int = SAMPLE, leaf: int = LEA
                                 names=["leaf", "salt", "fp", "home"],
                             )
 
-    def check(group: pa.Table) -> pa.Table:
+    def check(group):
         number = group.column("leaf")[0].as_py()
         tree = max(i for i, base in enumerate(offsets[:-1]) if base <= number)
         x = group.column("fp").to_numpy().view(np.uint64)
