@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("operators.guards", "operators.profile")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,3 +27,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return ORACLES
+
+
+def load_all() -> None:
+    """Import the modules whose queries register themselves."""
+    import importlib
+
+    for m in MODULES:
+        importlib.import_module(f"quire.{m}")
+
+
+load_all()
