@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("operators.guards", "operators.profile")
+from quire.plans.ship import ship
+
+MODULES = ("operators.guards", "operators.profile", "operators.grid", "functions.tensor", "functions.vector", "plans.ladder", "streaming.pages", "sources.files")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def register(name: str, oracle: str | None = None):
     def put(f):
-        QUERIES[name] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if oracle:
             ORACLES[name] = oracle
         return f

@@ -119,7 +119,7 @@ def stream_slot_guard(spark, sf_dir):
 count(DISTINCT l_orderkey) FILTER (l_linenumber <= 4) = count(DISTINCT l_orderkey) FILTER (l_linenumber >= 4) AS comparable FROM lineitem""",
 )
 def arity_guard(spark, sf_dir):
-    pages = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_or(PREV).alias("p"), F.bool_or(CAND).alias("c"))
+    pages = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.expr(PREV)).alias("p"), F.bool_or(F.expr(CAND)).alias("c"))
     return pages.agg(F.count_if("p").alias("prev_pages"), F.count_if("c").alias("cand_pages")).withColumn("comparable", F.expr("prev_pages = cand_pages"))
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def page_images(spark: SparkSession, sf_dir: str, part: Column | None = None) -> DataFrame:
+def page_images(spark: SparkSession, sf_dir: str, part: str | None = None) -> DataFrame:
     """(page, xref), distinct: an order's parts."""
     lines = load(spark, sf_dir, "lineitem")
     lines = lines.where(part) if part is not None else lines
@@ -25,8 +25,8 @@ def all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"))
 
 
-PREV = F.col("l_linenumber") <= 4
-CAND = F.col("l_linenumber") >= 4
+PREV = "l_linenumber <= 4"
+CAND = "l_linenumber >= 4"
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
