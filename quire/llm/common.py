@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.plans.ship import ship as ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once a session: they need not share the driver's folders."""
-    sc = spark.sparkContext
-    if getattr(sc, "_quire_shipped", False):
-        return
-    root = Path(__file__).resolve().parent.parent
-    if root.is_dir():
-        path = Path(tempfile.mkdtemp()) / "quire_code.zip"
-        with zipfile.ZipFile(path, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        sc.addPyFile(str(path))
-    sc._quire_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only on a local master."""
     sc = spark.sparkContext
@@ -74,7 +58,3 @@ def slices(batches, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.Recor
         step = max(1, n * most_bytes // max(total, 1))
         for at in range(0, n, step):
             yield batch.slice(at, min(step, n - at))
-
-
-def repo_path(*parts: str) -> str:
-    return os.path.join(Path(__file__).resolve().parent.parent.parent, *parts)
