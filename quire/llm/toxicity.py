@@ -14,6 +14,7 @@ hash of the id, of at most SAMPLE_CHARS characters); scoring reads whole texts.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from functools import cache, partial
 from itertools import combinations
@@ -137,21 +138,24 @@ class Landmarks:
 
 def choose(counts: list[Counter], labels: np.ndarray) -> list[str]:
     """Landmarks: beginnings and whole words with the largest differences in rate, no two with the same first 5 characters; then common words."""
-    rate: dict[str, list] = {}
+    texts_with: Counter = Counter()
+    for words in counts:
+        texts_with.update({m[:size] for w in words for m in (f"^{w}$",) for size in range(5, min(len(m), 9) + 1)})
+    rate: dict[str, list] = {s: [] for s, n in texts_with.items() if n >= 5}
+    del texts_with
     for i, words in enumerate(counts):
         n = sum(words.values()) + SHRINK
         mine: Counter = Counter()
         for w, k in words.items():
             marked = f"^{w}$"
             for size in range(5, min(len(marked), 9) + 1):
-                mine[marked[:size]] += k
+                if marked[:size] in rate:
+                    mine[marked[:size]] += k
         for s, k in mine.items():
-            rate.setdefault(s, []).append((i, min(k / n, CLIP)))
+            rate[s].append((i, min(k / n, CLIP)))
     n1, n0 = max(1, labels.sum()), max(1, (1 - labels).sum())
     scored = []
     for s, found in rate.items():
-        if len(found) < 5:
-            continue
         rows = np.array([i for i, _ in found])
         x = np.array([r for _, r in found])
         y = labels[rows] == 1
@@ -298,13 +302,19 @@ def learnable(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most sample rows of each class, of the rows that aren't held out; a doc_id labelled twice counts by its largest label."""
     labels = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = learnable(docs.where(f"text IS NOT NULL AND length(text) <= {SAMPLE_CHARS}").select("doc_id", "text"))
-    rows = rows.join(learnable(labels), "doc_id")
-    texts, y = [], []
-    for value in (1, 0):
-        for r in rows.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect():
-            texts.append(r.text)
-            y.append(value)
+    short = f"text IS NOT NULL AND length(text) <= {SAMPLE_CHARS}"
+    there = learnable(docs.where(short).select("doc_id")).join(learnable(labels), "doc_id")  # ids only are shuffled
+    ids = [
+        (r.doc_id, value)
+        for value in (1, 0)
+        for r in there.where(F.col("toxic") == value).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    ]
+    if not ids:
+        return fit([], [])
+    picked = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")  # two samples at most
+    rows = docs.where(short).select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()
+    rows = sorted(rows, key=lambda r: (-r.toxic, zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
+    texts, y = [r.text for r in rows], [r.toxic for r in rows]
     return fit(texts, y)
 
 
