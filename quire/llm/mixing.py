@@ -55,11 +55,11 @@ def rows_of(docs: DataFrame, domain: Column | None = None) -> DataFrame:
     source = F.coalesce(F.col("source").cast("string"), F.lit("?"))
     return docs.select(
         "*",
-        (domain if domain is not None else domain_of(F.col("source").cast("string"))).alias("__domain"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("?")).alias("__lang"),
-        source.alias("__source"),
-        n_tokens(F.col("text").cast("string")).alias("__tokens"),
-    ).where("__tokens > 0")
+        (domain if domain is not None else domain_of(F.col("source").cast("string"))).alias("__quire_domain"),
+        F.coalesce(F.col("lang").cast("string"), F.lit("?")).alias("__quire_lang"),
+        source.alias("__quire_source"),
+        n_tokens(F.col("text").cast("string")).alias("__quire_tokens"),
+    ).where("__quire_tokens > 0")
 
 
 def order_key(epoch: Column, doc_id: Column, seed: int = SEED) -> Column:
@@ -125,24 +125,24 @@ def with_leaf(rows: DataFrame, leaf: DataFrame, on: tuple = LEAF) -> DataFrame:
 
 
 def mix(docs: DataFrame, fraction: float = FRACTION, max_epochs: int = MAX_EPOCHS, weights: dict = WEIGHTS, seed: int = SEED, domain: Column | None = None) -> DataFrame:
-    """docs' rows that the mixture takes, with copies (how often) and the tree's columns __domain, __lang, __source, __tokens.
+    """docs' rows that the mixture takes, with the tree's columns, tokens and copies (how often) under names that start with __quire_.
 
     Tokens are words. Rows without a word, null texts among them, supply nothing and are never taken. A null lang or
     source is a branch of its own ("?"); rows that share a doc_id stand and fall together. An empty table gives an
     empty result. Only ids, branches and token counts are shuffled, never texts.
     """
     rows = rows_of(docs, domain)
-    narrow = rows.select("doc_id", *(F.col(f"__{c}").alias(c) for c in LEAF), F.col("__tokens").alias("tokens"))
+    narrow = rows.select("doc_id", *(F.col(f"__quire_{c}").alias(c) for c in LEAF), F.col("__quire_tokens").alias("tokens"))
     cuts = plan(spill(narrow, "mix-rows"), fraction, max_epochs, weights, seed)
-    marked = with_leaf(rows, cuts.toDF(*(f"__{c}" for c in cuts.columns)), tuple(f"__{c}" for c in LEAF))
-    key = order_key(F.col("__epochs"), F.col("doc_id"), seed)
-    extra = F.when((F.col("__rest") > 0) & (key <= F.col("__cut")), 1).otherwise(0)
-    return marked.withColumn("copies", F.col("__epochs") + extra).where("copies > 0").drop("__epochs", "__rest", "__cut")
+    marked = with_leaf(rows, cuts.toDF(*(f"__quire_{c}" for c in cuts.columns)), tuple(f"__quire_{c}" for c in LEAF))
+    key = order_key(F.col("__quire_epochs"), F.col("doc_id"), seed)
+    extra = F.when((F.col("__quire_rest") > 0) & (key <= F.col("__quire_cut")), 1).otherwise(0)
+    return marked.withColumn("__quire_copies", F.col("__quire_epochs") + extra).where("__quire_copies > 0").drop("__quire_epochs", "__quire_rest", "__quire_cut")
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
     taken = mix(docs.select("doc_id", "text", "lang", "source"))
-    return taken.select("doc_id", *(F.col(f"__{c}").alias(c) for c in LEAF), F.col("__tokens").alias("n_tokens"), "copies")
+    return taken.select("doc_id", *(F.col(f"__quire_{c}").alias(c) for c in LEAF), F.col("__quire_tokens").alias("n_tokens"), F.col("__quire_copies").alias("copies"))
 
 
 def oracle(fraction: float = FRACTION, max_epochs: int = MAX_EPOCHS, weights: dict = WEIGHTS, seed: int = SEED) -> str:

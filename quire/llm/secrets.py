@@ -137,9 +137,9 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     The text meets the spans only where there are any.
     """
     spans_of = scan(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "k"])
-    spans_of = spans_of.select(F.col("doc_id").alias("sid"), F.col("k").alias("sk"), "spans")
+    spans_of = spans_of.select(F.col("doc_id").alias("__quire_id"), F.col("k").alias("__quire_key"), F.col("spans").alias("__quire_spans"))
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.join(spans_of, F.col("doc_id").eqNullSafe(F.col("sid")) & (key == F.col("sk")), "left")
+    joined = docs.join(spans_of, F.col("doc_id").eqNullSafe(F.col("__quire_id")) & (key == F.col("__quire_key")), "left")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -149,10 +149,10 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         ).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), piece.alias("out"))
 
-    cleaned = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cleaned)
+    cleaned = F.aggregate("__quire_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    text = F.when(F.col("__quire_spans").isNull(), F.col("text")).otherwise(cleaned)
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
+        joined = joined.withColumn("n_chars", F.when(F.col("__quire_spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
     return joined.withColumn("text", text).select(*docs.columns)
 
 
