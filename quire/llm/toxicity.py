@@ -34,7 +34,7 @@ SHARPEN = 4
 SHRINK = 30  # words that every text has besides its own, of weight 0
 CLIP = 0.03  # the rate beyond which a beginning marks a text no more strongly
 LONGEST = 16
-CACHE = 500_000
+CACHE = 200_000  # words of either half of a worker's cache
 SURE = 4.0  # standard errors between the classes' rates that make a landmark
 COST = 1.0
 RIDGE = 0.001
@@ -232,7 +232,7 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.landmarks, self.known = model, Landmarks(model.landmarks), {}
+        self.model, self.landmarks, self.known, self.old = model, Landmarks(model.landmarks), {}, {}
 
     def learn(self, new: list[str]) -> None:
         bare = [clean(w) for w in new]
@@ -242,10 +242,13 @@ class Scorer:
 
     def scores(self, texts: list[str]) -> list[float]:
         cut = [split(t) for t in texts]
-        new = list({w for ws in cut for w in ws if w not in self.known})
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list({w for ws in cut for w in ws})
+        new = {w for ws in cut for w in ws if w not in self.known}
+        if len(self.known) + len(new) > CACHE:  # the older half goes, but for what is still in use
+            self.old, self.known = self.known, {}
+            new = {w for ws in cut for w in ws}
+        kept = {w: self.old[w] for w in new if w in self.old}
+        self.known.update(kept)
+        new = list(new - kept.keys())
         for at in range(0, len(new), 8192):
             self.learn(new[at : at + 8192])
         m = self.model
@@ -259,7 +262,9 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if not len(y) or y.min() == y.max():
         p = np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99)
         return Model(["^none$"], np.zeros(1), 0.0, 0.0, float(np.log(p / (1 - p))))
-    counts = [Counter(map(clean, split(t))) for t in texts]
+    one: dict[str, str] = {}  # equal words of all texts are one object
+    counts = [Counter(one.setdefault(w, w) for w in map(clean, split(t))) for t in texts]
+    del one
     marks = choose(counts, y)
     landmarks = Landmarks(marks)
     value, vector = np.linalg.eigh(landmarks.kernel(marks).astype(np.float64))
@@ -267,7 +272,9 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     root = vector / np.sqrt(value)  # the Nystroem map: kernel to the landmarks times this
     every = list(dict.fromkeys(w for c in counts for w in c))
     place = {w: i for i, w in enumerate(every)}
-    k = landmarks.of_words(every)
+    k = np.empty((len(every), len(marks)), np.float32)
+    for at in range(0, len(every), 8192):
+        k[at : at + 8192] = landmarks.of_words(every[at : at + 8192])
     mean = np.zeros((len(counts), len(marks)))
     for i, c in enumerate(counts):
         if c:
