@@ -20,7 +20,7 @@ from quire.llm.common import ship, slices
 from quire.llm.pieces import MODEL, SPACE, vocabulary, words
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CACHE = 300_000
+CACHE = 150_000  # words of either half of a worker's cache
 LONG = 48
 CELLS = 1 << 18  # characters of words that advance together
 
@@ -127,15 +127,17 @@ class Codec:
     """An encoder with a cache of words; one a process."""
 
     def __init__(self, name: str):
-        self.encoder, self.known = Encoder(name), {}
+        self.encoder, self.known, self.old = Encoder(name), {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [words(t) for t in texts]
         new = {w for ws in cut for w in ws if w not in self.known}
-        got = self.encoder.words(list(new)) if new else {}
-        if len(self.known) + len(got) > CACHE:
-            old = {w for ws in cut for w in ws} - new
-            self.known = {w: self.known[w] for w in old}
+        if len(self.known) + len(new) > CACHE:  # the older half goes, but for what is still in use
+            self.old, self.known = self.known, {}
+            new = {w for ws in cut for w in ws}
+        got = {w: self.old[w] for w in new if w in self.old}
+        fresh = list(new - got.keys())
+        got.update(self.encoder.words(fresh) if fresh else {})
         self.known.update(got)
         out = [b"".join(map(self.known.__getitem__, ws)) for ws in cut]
         for w in new:
