@@ -19,6 +19,7 @@ from quire.llm.vectors import best_ids, classes, dump, load, search, usable
 EVERY, K = 50, 5
 SCALE = 256
 CHILDREN, LEAF = 16, 64
+GROUP = 1024  # points compared in one product
 
 
 class Tree:
@@ -74,31 +75,47 @@ def dual(data: Tree, queries: Tree, k: int) -> tuple[np.ndarray, np.ndarray]:
     rows = np.full((n, k), -1, np.int64)
 
     def take(q: np.ndarray, d: np.ndarray) -> None:
-        s = np.hstack([best[q], queries.x[q] @ data.x[d].T])
-        i = np.hstack([rows[q], np.broadcast_to(d, (len(q), len(d)))])
-        # the same row never comes twice: leaves are disjoint and each pair of leaves meets once
-        if s.shape[1] > 4 * k:  # only what reaches the k-th score can count
-            kth = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-            width = max(k, int((s >= kth).sum(1).max()))
-            part = np.argsort(~(s >= kth), axis=1, kind="stable")[:, :width]
-            s, i = np.take_along_axis(s, part, 1), np.take_along_axis(i, part, 1)
-        order = np.lexsort((i, -s), axis=1)[:, :k]
-        best[q], rows[q] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        """Merge rows d, met by the queries q for the first time, in the lists of their best."""
+        s = queries.x[q] @ data.x[d].T
+        least = best[q, -1:]
+        if len(d) > k:
+            least = np.maximum(least, -np.partition(-s, k - 1, axis=1)[:, k - 1 : k])
+        who, col = np.nonzero(s >= least)
+        if len(who):
+            who_all = np.concatenate([np.repeat(np.arange(len(q)), k), who])
+            score = np.concatenate([best[q].ravel(), s[who, col]])
+            row = np.concatenate([rows[q].ravel(), d[col]])
+            order = np.lexsort((row, -score, who_all))
+            of = who_all[order]
+            keep = order[np.arange(len(of)) - np.searchsorted(of, of) < k]
+            best[q], rows[q] = score[keep].reshape(-1, k), row[keep].reshape(-1, k)
 
     def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         product = np.einsum("ij,ij->i", queries.x[queries.centre[a]], data.x[data.centre[b]])
         top = product + queries.radius[a] * data.norm[b] + data.radius[b] * queries.norm[a] + queries.radius[a] * data.radius[b]
         return top + 1e-9 * (np.abs(top) + 1)
 
-    met: set[tuple[int, int]] = set()
+    first: dict[int, int] = {}
 
     def worst(node: int) -> float:
         return best[queries.perm[queries.low[node] : queries.high[node]], -1].min()
 
-    def compare(a: int, b: int) -> None:
-        if (a, b) not in met:
-            met.add((a, b))
-            take(queries.perm[queries.low[a] : queries.high[a]], data.perm[data.low[b] : data.high[b]])
+    def points(leaves: np.ndarray) -> np.ndarray:
+        return np.concatenate([data.perm[data.low[b] : data.high[b]] for b in leaves])
+
+    def compare(a: int, leaves: np.ndarray, top: np.ndarray) -> None:
+        """A query leaf against data leaves, best bounds first, GROUP points at a time; the threshold rises in between."""
+        order = np.argsort(-top, kind="stable")
+        leaves, top = leaves[order], top[order]
+        q = queries.perm[queries.low[a] : queries.high[a]]
+        ends = np.cumsum(data.high[leaves] - data.low[leaves])
+        at = 0
+        while at < len(leaves):
+            stop = min(int(np.searchsorted(-top, -worst(a), side="right")), max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP, side="right"))))
+            if stop <= at:
+                break
+            take(q, points(leaves[at:stop]))
+            at = stop
 
     # a first threshold: each query leaf meets the leaf that greedy descent finds
     for a in np.flatnonzero(queries.children == 0):
@@ -106,7 +123,8 @@ def dual(data: Tree, queries: Tree, k: int) -> tuple[np.ndarray, np.ndarray]:
         while data.children[b]:
             options = np.arange(data.child[b], data.child[b] + data.children[b])
             b = int(options[bound(np.full(len(options), a), options).argmax()])
-        compare(int(a), b)
+        first[int(a)] = b
+        take(queries.perm[queries.low[a] : queries.high[a]], points(np.array([b])))
     pairs = np.zeros((1, 2), np.int64)
     while len(pairs):
         top = bound(pairs[:, 0], pairs[:, 1])
@@ -114,10 +132,10 @@ def dual(data: Tree, queries: Tree, k: int) -> tuple[np.ndarray, np.ndarray]:
         open_ = top >= least[np.searchsorted(np.unique(pairs[:, 0]), pairs[:, 0])]
         pairs, top = pairs[open_], top[open_]
         leaf = (queries.children[pairs[:, 0]] == 0) & (data.children[pairs[:, 1]] == 0)
-        for i in np.flatnonzero(leaf)[np.argsort(-top[leaf], kind="stable")]:
-            a, b = int(pairs[i, 0]), int(pairs[i, 1])
-            if top[i] >= worst(a):
-                compare(a, b)
+        a, b = pairs[leaf].T
+        for node in np.unique(a).tolist():
+            mine = (a == node) & (b != first[node])
+            compare(node, b[mine], top[leaf][mine])
         a, b = pairs[~leaf].T
         wide = (data.children[b] > 0) & ((data.radius[b] >= queries.radius[a]) | (queries.children[a] == 0))
         down = np.where(wide, data.child[b], queries.child[a])
