@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.plans.ship import ship
 
-MODULES = ("operators.guards", "operators.profile", "operators.grid", "functions.tensor", "functions.vector", "plans.ladder", "streaming.pages", "sources.files")
+MODULES = ("operators.guards", "operators.profile", "operators.grid", "functions.tensor", "functions.solver", "operators.images", "functions.vector", "plans.ladder", "streaming.pages", "sources.files")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

@@ -2,6 +2,7 @@
 
 import math
 import os
+import zlib
 
 import duckdb
 import numpy as np
@@ -9,8 +10,10 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from quire import catalog
+from quire.functions.solver import update, weights
 from quire.functions.vector import chunk, merge_lines, optimise_stream, shorter, truncate_cm
 from quire.operators.grid import component_boxes, merge_cells
+from quire.operators.images import png_bits, unsharp
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -92,6 +95,47 @@ def test_chunk_keeps_bytes(parts):
     assert all(len(c) <= 32 or c.count(b"\n") <= 1 for c in got) or len(data) <= 40
 
 
+@pytest.mark.parametrize("kind", ["data", "noise"])
+@pytest.mark.parametrize("variant", ["dpmsolver", "taylor"])
+@pytest.mark.parametrize("order", [2, 3])
+def test_solver_order(kind, variant, order):
+    """Against many small steps: where steps are small, half the step leaves about 1 / 2 ** (order + 1) of the error."""
+    f = lambda x: x / (abs(x) + 1)
+
+    def error(h, many=4000):
+        x = 0.7
+        for i in range(many):
+            x = update(x, weights(kind, "dpmsolver", 2, -1.0 + i * h / many, h / many), f)
+        return abs(update(0.7, weights(kind, variant, order, -1.0, h), f) - x)
+
+    assert error(0.1) < error(0.2) / (0.85 * 2 ** (order + 1))
+
+
+def test_unsharp():
+    flat = [100] * 64
+    assert unsharp(flat, 0.3) == flat
+    edge = [0] * 32 + [200] * 32
+    out = unsharp(edge, 0.3)
+    assert out[24] == 0 and out[32] > 200 and len(set(out[32:40])) == 1
+
+
+@given(st.integers(1, 20), st.integers(1, 9), st.integers(0, 2**32))
+@settings(max_examples=30, deadline=None)
+def test_png_keeps_bits(width, height, seed):
+    bits = np.random.default_rng(seed).integers(0, 2, (height, width)).astype(bool)
+    data = png_bits(bits)
+    assert data[:8] == b"\x89PNG\r\n\x1a\n"
+    at, body, header = 8, b"", b""
+    while at < len(data):
+        n, name = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        part = data[at + 8 : at + 8 + n]
+        assert int.from_bytes(data[at + 8 + n : at + 12 + n], "big") == zlib.crc32(name + part)
+        body, header, at = body + (part if name == b"IDAT" else b""), part if name == b"IHDR" else header, at + 12 + n
+    assert (int.from_bytes(header[:4], "big"), int.from_bytes(header[4:8], "big"), header[8]) == (width, height, 1)
+    rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, -1)
+    assert not rows[:, 0].any() and (np.unpackbits(rows[:, 1:], axis=1)[:, :width] == bits).all()
+
+
 def test_merge_cells():
     m = np.array([["A", "A", None], ["A", "A", "B"], ["C", "A", "B"]], object)
     assert merge_cells(m) == [(0, 0, 2, 2, "A"), (1, 2, 3, 3, "B"), (2, 0, 3, 1, "C"), (2, 1, 3, 2, "A")]
