@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire.plans.ship import ship as ship
 
@@ -47,6 +47,16 @@ def spill(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def least(hashed: Column, wanted: int, total: int) -> Column:
+    """Whether a row's hash is among the smallest, about 4 * wanted of total distinct ones.
+
+    An order by the hash with limit(wanted) takes the same rows behind this filter as without it, but then the driver
+    gets some 4 * wanted rows from all tasks together, not wanted rows from each of them.
+    """
+    most = -(1 << 63) + ((4 * wanted) << 64) // max(total, 1)
+    return hashed <= F.lit(min(most, (1 << 63) - 1))
+
+
 def slices(batches, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of at most most_bytes of text (one row at least), so a worker's memory doesn't follow the batch size."""
     for batch in batches:

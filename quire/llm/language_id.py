@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.common import ship, slices
+from quire.llm.common import least, ship, slices
 
 WINDOW = 256
 SAMPLE = 400  # labelled texts of each language, the first by a hash of the id
@@ -140,9 +140,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Folded | None:
     x, y = [], []
     for i, lang in enumerate(classes):
         # a hash threshold takes some 4 samples, then the order by hash takes the sample: no texts are sorted beyond that
-        part = known.where(F.col("lang") == lang)
-        if many[lang] > 4 * sample:
-            part = part.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(4e6 * sample / many[lang]))
+        part = known.where(F.col("lang") == lang).where(least(F.xxhash64("doc_id"), sample, many[lang]))
         for r in part.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect():
             w = windows(r.text.encode())
             pick = np.unique(np.linspace(0, len(w) - 1, WINDOWS).astype(int))

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quire.llm import cover_tree, graph_search, language_id, mixing, secrets, sentencepieces, simhash, token_counts, toxicity, warc
+from quire.llm.common import least
 from quire.llm.pieces import MODEL, SPACE, vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string, copies long, fp long, piece_ids string"
@@ -242,6 +243,16 @@ def test_toxicity(spark):
     assert toxicity.toxicity(table, marks.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_least_keeps_the_sample(spark):
+    frame = spark.range(20_000)
+    taken = lambda f: [r.id for r in f.orderBy(F.xxhash64("id"), "id").limit(50).collect()]
+    few = frame.where(least(F.xxhash64("id"), 50, 20_000))
+    assert taken(few) == taken(frame) and 100 < few.count() < 400
+    assert frame.where(least(F.xxhash64("id"), 50, 200)).count() == 20_000
+    assert frame.where(least(F.xxhash64("id"), 1, 0)).count() == 20_000
+    assert spark.range(1).where(least(F.lit(-(1 << 63)), 400, 10**13)).count() == 1
+
+
 def test_token_counts(spark):
     lib = vocabulary().processor
     texts = [*EDGE, "<s> </s> <unk> <0x0A>", "a" + " " * 40 + "b"]
