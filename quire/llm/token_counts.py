@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.common import ship, slices
+from quire.llm.common import least, ship, slices
 from quire.llm.pieces import MODEL, vocabulary, words
 
-SAMPLE = 2000  # texts, the first by a hash of the text
+SAMPLE = 2000  # different texts, the first by a hash of the text
 SAMPLE_CHARS = 20_000  # longer texts are no part of the sample
 TABLE = 1 << 16
 MOST_BYTES = 4 << 20
@@ -55,8 +55,13 @@ def unpack(packed: tuple[bytes, bytes, bytes]) -> dict[str, int]:
 
 
 def frequent(docs: DataFrame, name: str, sample: int = SAMPLE, size: int = TABLE) -> tuple[bytes, bytes, bytes]:
-    """The packed table of the most frequent words of a bounded sample."""
-    some = docs.where(f"length(text) <= {SAMPLE_CHARS}").select("text").orderBy(F.xxhash64("text")).limit(sample)
+    """The packed table of the most frequent words of a bounded sample of different texts.
+
+    Copies are merged on the map side, so a text that many rows share is sent on once a task.
+    """
+    hashed = F.xxhash64("text")
+    some = docs.where(f"length(text) <= {SAMPLE_CHARS}").where(least(hashed, sample, docs.count()))
+    some = some.select("text").distinct().orderBy(hashed, "text").limit(sample)
     counts: Counter = Counter()
     for row in some.collect():
         counts.update(w for w in words(row.text) if len(w) <= LONG)
