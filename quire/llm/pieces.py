@@ -24,9 +24,44 @@ def words(text: str) -> list[str]:
     return WORD.findall(" " + text) if text else []
 
 
+def fields(message: bytes):
+    """(number, value) of each field of a serialized protocol buffer; bytes of those with a length, None of fixed ones."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            if byte < 128:
+                return value
+            shift += 7
+
+    while at < len(message):
+        key = varint()
+        kind, value = key & 7, None
+        if kind == 0:
+            value = varint()
+        elif kind == 2:
+            size = varint()
+            value = message[at : at + size]
+            at += size
+        else:
+            at += {1: 8, 5: 4}[kind]
+        yield key >> 3, value
+
+
+def model_type(model: bytes) -> int:
+    """trainer_spec.model_type of a serialized model: 1 unigram (also if it isn't set), 2 BPE, 3 words, 4 characters."""
+    return max([x for n, spec in fields(model) if n == 2 for k, x in fields(spec) if k == 3], default=1)
+
+
 class Vocabulary:
     def __init__(self, path: str):
         self.processor = p = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.is_bpe = model_type(p.serialized_model_proto()) == 2
         n = p.vocab_size()
         self.pieces = [p.id_to_piece(i) for i in range(n)]
         special = np.array([p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i) for i in range(n)])

@@ -1,10 +1,12 @@
-"""SentencePiece encoding and decoding by batched Viterbi in numpy.
-
-Each word takes the sequence of the model's pieces with the largest sum of scores (the unigram criterion, here
-over the vocabulary and scores of the given file). Words of equal length advance together, position by position:
-hashes of all their substrings that end there probe the sorted hashes of the pieces, and one maximum over the
-substrings' starts gives the best score and the backpointer for all words at once. A character that no piece
-covers costs the lowest score less 10 and becomes its UTF-8 bytes' pieces. Of equal scores the longest last piece wins.
+"""SentencePiece encoding and decoding of words behind a worker's cache, by the criterion of the model's type.
+
+The scores of a BPE model are ranks of merges, not log probabilities: its words that the cache misses are encoded by
+the library, which applies the merges in order. For the other types each word takes the sequence of the model's pieces
+with the largest sum of scores (the unigram criterion), by batched Viterbi in numpy. Words of equal length advance
+together, position by position: hashes of all their substrings that end there probe the sorted hashes of the pieces,
+and one maximum over the substrings' starts gives the best score and the backpointer for all words at once. A character
+that no piece covers costs the lowest score less 10 and becomes its UTF-8 bytes' pieces. Of equal scores the longest
+last piece wins.
 """
 
 from __future__ import annotations
@@ -123,11 +125,28 @@ class Encoder:
         return out
 
 
-class Codec:
-    """An encoder with a cache of words; one a process."""
+class Merges:
+    """The encoder of BPE models: the library's merges, word by word."""
 
     def __init__(self, name: str):
-        self.encoder, self.known, self.old = Encoder(name), {}, {}
+        v = self.v = vocabulary(name)
+        alone = v.processor.piece_to_id(SPACE)  # the library always adds a space, so it can't be asked for a single one
+        if alone == v.unknown:
+            of_bytes = v.byte_ids[list(SPACE.encode())]
+            self.space = (of_bytes if (of_bytes >= 0).all() else np.array([alone])).astype("<i4").tobytes()
+        else:
+            self.space = np.array([alone], "<i4").tobytes()
+
+    def words(self, new: list[str]) -> dict[str, bytes]:
+        found = self.v.processor.encode([w[1:] for w in new], num_threads=1)
+        return {w: np.array(ids, "<i4").tobytes() if len(w) > 1 else self.space for w, ids in zip(new, found, strict=True)}
+
+
+class Codec:
+    """An encoder, Viterbi's if none is given, with a cache of words; one a process."""
+
+    def __init__(self, name: str, encoder: Encoder | Merges | None = None):
+        self.encoder, self.known, self.old = encoder or Encoder(name), {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [words(t) for t in texts]
@@ -153,7 +172,7 @@ class Codec:
 
 @cache
 def codec(name: str = MODEL) -> Codec:
-    return Codec(name)
+    return Codec(name, Merges(name) if vocabulary(name).is_bpe else None)
 
 
 def encode_batches(batches, name: str):

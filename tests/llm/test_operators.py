@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import cover_tree, graph_search, language_id, mixing, secrets, sentencepieces, simhash, token_counts, toxicity, warc
 from quire.llm.common import least
-from quire.llm.pieces import MODEL, SPACE, vocabulary
+from quire.llm.pieces import MODEL, SPACE, model_type, vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string, copies long, fp long, piece_ids string"
 PROSE = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix strong potions in the old tower near the river"
@@ -293,6 +293,18 @@ def test_sentencepieces(spark):
     assert sentencepieces.encode(docs(spark, [])).count() == 0
 
 
+def test_sentencepieces_are_the_librarys(spark):
+    lib = vocabulary().processor
+    texts = [*EDGE, "les Elle est là", "unbelievable zurück straße a,b.c", "a ", " ", "a" + " " * 40 + "b", "<s> </s> <0x0A>"]
+    got = {r.doc_id: r.piece_ids for r in sentencepieces.encode(docs(spark, texts)).collect()}
+    assert got == {i: lib.encode(t or "") for i, t in enumerate(texts)}
+
+
+def test_model_type():
+    assert vocabulary().is_bpe
+    assert [model_type(x) for x in (b"", b"\x12\x02\x18\x01", b"\x12\x02\x18\x02", b"\x0a\x02\x18\x02")] == [1, 1, 2, 1]
+
+
 def brute_base(text):
     out = []
     for m in re.finditer(secrets.ASSIGN, text):
