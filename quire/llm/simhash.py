@@ -27,18 +27,24 @@ MOST_LEAVES = 8192
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(data: bytes, width: int = 4) -> int:
+def word_hashes(data: bytes, width: int) -> list[int]:
+    """The hashes of all runs of width words, of the whole if there are fewer; none without words."""
     words = data.lower().split()  # for bytes: A-Z only, and white space is 0x20 and 0x09-0x0D
     if not words:
-        return 0
+        return []
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=False)]
+        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=False)]
+
+
+def fingerprint(data: bytes, width: int = 4) -> int:
+    hashes = word_hashes(data, width)
+    if not hashes:
+        return 0
     h = np.array(hashes, np.uint64)
     by_value = np.stack([np.bincount(x, minlength=256) for x in h.view(np.uint8).reshape(-1, 8).T])
     counts = (by_value @ BITS_OF_BYTE).ravel()
@@ -225,7 +231,12 @@ def classes(docs: DataFrame, within: int = 4, width: int = 4, id_col: str = "doc
     """
     fps = spill(with_fingerprints(docs, id_col, text_col, width), "fps")
     each = spill(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct-fps")
-    found = components(spill(links(each.select("fp"), within), "links"))
+    return named_classes(fps, each, spill(links(each.select("fp"), within), "links"))
+
+
+def named_classes(fps: DataFrame, each: DataFrame, linked: DataFrame) -> DataFrame:
+    """fps(doc_id, fp) with component_id; each(fp, rep, n) has the smallest doc_id and the rows of each fp, linked(a, b) its links."""
+    found = components(linked)
     known = each.join(found.withColumnRenamed("v", "fp"), "fp", "left").where("n > 1 OR label IS NOT NULL")
     known = known.select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     least = known.groupBy("label").agg(F.min("rep").alias("component_id"))
@@ -239,13 +250,15 @@ def simhash_near_dedup(docs: DataFrame, within: int = 4, width: int = 4) -> Data
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, within: int = 4, width: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, within: int = 4, width: int = 4, found: DataFrame | None = None) -> DataFrame:
     """docs without near-copies: of each component the row with the smallest doc_id stays; of rows that share it, one.
 
+    The components are those of found(doc_id, component_id), by default those of classes().
+
     Rows with a null doc_id can't be named by a decision and stay as they are. The text is shuffled only for
     doc_ids that occur more than once, and where the table of copies is too large to be broadcast.
     """
-    found = classes(docs, within, width)
+    found = classes(docs, within, width) if found is None else found
     go = spill(found.where("doc_id != component_id").select("doc_id").distinct(), "copies")
     kept = docs.join(go, "doc_id", "left_anti").select(*docs.columns)
     again = spill(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "again")

@@ -10,7 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import cover_tree, graph_search, language_id, mixing, secrets, sentencepieces, simhash, token_counts, toxicity, warc
+import corpus_pipeline
+from quire.llm import cover_tree, graph_search, language_id, mixing, near_copies, secrets, sentencepieces, simhash, token_counts, toxicity, warc
 from quire.llm.common import least
 from quire.llm.pieces import MODEL, SPACE, model_type, vocabulary
 
@@ -65,6 +66,45 @@ def test_simhash_empty_and_repeated(spark):
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 5, 9]
 
 
+def test_pipeline_drops_all_near_copies(spark):
+    rng = np.random.default_rng(3)
+    texts = [*EDGE, "one two", "ONE  two", "one two three"]
+    for n in (30, 80, 200):
+        base = [f"w{x}" for x in rng.integers(0, 400, n)]
+        for edits in (0, 1, 1, 1, 2, 3, n // 10):
+            copy = list(base)
+            for at in rng.integers(0, n, edits):
+                copy[at] = f"new{rng.integers(0, 1000)}"
+            texts.append(" ".join(copy))
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(texts)))
+    wide = 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            wide += (brute_fingerprint(texts[i]) ^ brute_fingerprint(texts[j])).bit_count() > 4
+            up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+    assert wide > 5
+    kept = corpus_pipeline.near_dedup(spark, docs(spark, texts), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(up))
+    assert corpus_pipeline.near_dedup(spark, docs(spark, []), "").count() == 0
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(4)
+    pool = np.sort(rng.integers(0, 2**63, 40, np.uint64))
+    last = pool[::2]
+    for _ in range(3000):
+        x = rng.random(40) < 0.7
+        x[0] = True
+        y = x ^ (rng.random(40) < 0.1)
+        a, b = pool[x], pool[y]
+        if 5 * (x & y).sum() >= 4 * (x | y).sum():
+            assert len(np.intersect1d(near_copies.first(a, last, np.arange(20)), near_copies.first(b, last, np.arange(20))))
+
+
 def test_vantage_trees_lose_no_link():
     rng = np.random.default_rng(0)
     centres = rng.integers(0, 2**63, 300, np.uint64)
