@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.plans.ship import ship
 
-MODULES = ("operators.guards", "operators.profile", "operators.grid", "functions.tensor", "functions.solver", "operators.images", "functions.vector", "plans.ladder", "streaming.pages", "sources.files")
+MODULES = ("operators.guards", "operators.profile", "operators.grid", "functions.tensor", "functions.solver", "operators.images", "functions.content", "functions.vector", "plans.ladder", "streaming.pages", "sources.files")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,19 +29,16 @@ def register(name: str, oracle: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load_all()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    load_all()
     return ORACLES
 
 
 def load_all() -> None:
-    """Import the modules whose queries register themselves."""
-    import importlib
-
+    """Import the modules whose queries register themselves; not when this module is imported, as they import it."""
     for m in MODULES:
         importlib.import_module(f"quire.{m}")
-
-
-load_all()

@@ -11,7 +11,8 @@ from hypothesis import given, settings, strategies as st
 
 from quire import catalog
 from quire.functions.solver import update, weights
-from quire.functions.vector import chunk, merge_lines, optimise_stream, shorter, truncate_cm
+from quire.functions.content import fixed, lexemes, shorten_lines, strict_shorten, truncate_cm, value_of
+from quire.functions.vector import chunk, merge_lines, optimise_stream, shorter
 from quire.operators.grid import component_boxes, merge_cells
 from quire.operators.images import png_bits, unsharp
 
@@ -72,6 +73,65 @@ def test_truncate_cm():
     assert truncate_cm("1 0 0 2 12.3456 1 cm") == ("1 0 0 2 12.3456 1 cm", 0)
 
 
+def slow_lexemes(text):
+    """Character by character: (is it in a string, hex string, name or comment?) for each."""
+    shut, depth, mode, escaped = [], 0, "", False
+    for i, c in enumerate(text):
+        if mode == "comment" and c in "\r\n":
+            mode = ""
+        if mode == "name" and c in " \t\r\n\f\v[]{}()<>/%":
+            mode = ""
+        if mode == "string":
+            shut.append(True)
+            if escaped:
+                escaped = False
+            elif c == "\\":
+                escaped = True
+            else:
+                depth += {"(": 1, ")": -1}.get(c, 0)
+                mode = "string" if depth else ""
+            continue
+        if mode == "hex":
+            shut.append(True)
+            mode = "" if c == ">" else mode
+            continue
+        if mode == "dict":
+            shut.append(False)
+            mode = ""
+            continue
+        if not mode:
+            if c == "(":
+                mode, depth = "string", 1
+            elif c == "<":
+                mode = "dict" if text[i + 1 : i + 2] == "<" else "hex"
+            elif c == "/":
+                mode = "name"
+            elif c == "%":
+                mode = "comment"
+        shut.append(mode in ("string", "hex", "name", "comment"))
+    return shut
+
+
+@given(st.lists(st.sampled_from(["1.50000", "2", "-.25", "1e-3", "m", "l", "w", "(", ")", "\\", "<", ">", "<<", ">>", "/N1.5", "%", "\n", " ", " ", "[", "]", "Tj"]), max_size=40).map("".join))
+@settings(max_examples=400, deadline=None)
+def test_lexemes_by_character(text):
+    found = list(lexemes(text))
+    assert "".join(x.text for x in found) == text
+    shut = [x.kind in ("string", "hex", "name", "comment") for x in found for _ in x.text]
+    assert shut == slow_lexemes(text)
+
+
+def test_strings_comments_and_names_stay():
+    text = "(total 1.00000 2.00000 l \\) (x) 3.00000 w) Tj <4.00000 w> % 5.00000 w\n/N6.00000 w 7.00000 w"
+    want = text.replace("7.00000 w", "7 w")
+    assert strict_shorten(text) == optimise_stream(text, 3, True) == optimise_stream(text, 3, False) == want
+    assert strict_shorten("1.50000 % c\n2.25000 m [1.0e2 3.000] l +.50 w 1.2.3 w") == "1.5 % c\n2.25 m [100 3] l .5 w 1.2.3 w"
+    assert shorten_lines("1.50000 2.25000 m\n1.0 2.0 3.0 4.000 v 9.000 w") == "1.5 2.25 m\n1 2 3 4 v 9 w"
+    assert [fixed(t, 2) for t in ("-0.50", "0.001", "-0.001", "12", "1e2")] == ["-.5", "0", "0", "12", "100"]
+    assert [value_of(t) for t in ("1.5", "", "x", "1" * 130, "-2e1")] == [1.5, 0.0, 0.0, 0.0, -20.0]
+    assert truncate_cm("1.0 0 0 1 .125 -0.001 cm (1 0 0 1 5.5555 5.5555 cm) Tj") == ("1.0 0 0 1 .12 0 cm (1 0 0 1 5.5555 5.5555 cm) Tj", 1)
+
+
 def test_merge_lines():
     straight = [(float(i), 0.0) for i in range(6)]
     assert merge_lines(straight) == [5]
