@@ -2,7 +2,7 @@
 
 A window of WINDOW bytes is embedded byte by byte; filters of widths 2, 3 and 4 slide over it, each filter keeps its
 maximum (after a rectifier), and a softmax on the maxima gives the language. The network is trained in numpy, by
-Adam, on windows of a bounded sample of labelled texts. A text's prediction is the mean of its windows' softmaxes,
+Adam, on windows of a bounded sample of labelled texts; every value of lang is a class, however long its texts. A text's prediction is the mean of its windows' softmaxes,
 over all its windows. For inference embedding and filters are folded into tables: one over byte pairs gives, at
 once, what a pair adds to every filter at either place, so a window costs lookups, sums and maxima alone.
 """
@@ -16,13 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.common import least, ship, slices
+from quire.llm.common import ship, slices
 
 WINDOW = 256
-SAMPLE = 400  # labelled texts of each language, the first by a hash of the id
-LANGUAGES = 200
-SAMPLE_CHARS = 20_000
-WINDOWS = 8  # of each sampled text, spread over it
+SAMPLE = 400  # labelled texts of each language, the first by a hash of id and text
+MOST_SAMPLES = 12_000  # of all languages together; with more than 30 languages each has fewer than SAMPLE, and one at least
+BROADCAST_LANGUAGES = 50_000  # under 5 MB
+WINDOWS = 8  # of each sampled text, spread over the whole of it
 EMBED, FILTERS, WIDTHS = 8, 12, (2, 3, 4)
 UNKNOWN = "und"
 
@@ -129,30 +129,57 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
+def sampled(docs: DataFrame, sample: int) -> list[tuple[str, bytes]]:
+    """(lang, windows) of at most sample different texts of each value of lang, of the rows that aren't held out, in a fixed order.
+
+    Rows are told apart by a hash of id and text. Each language has a threshold on it, from the number of its different
+    rows, so one pass takes the samples of all languages and the driver gets the windows of some 3/2 samples,
+    not texts, whatever the number of rows, tasks and repetitions.
+    """
+    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND octet_length(text) > 0 AND crc32(cast(doc_id as string)) % 3 != 1")
+    known = known.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"), F.col("text").cast("string").alias("text"))
+    many = {r.lang: r.n for r in known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not many:
+        return []
+    each = max(1, min(sample, MOST_SAMPLES // len(many)))
+    least = [(lang, min((1 << 63) - 1, -(1 << 63) + (3 * (each + 8) << 63) // max(n, 1))) for lang, n in many.items()]
+    table = docs.sparkSession.createDataFrame(least, "lang string, most long")
+    chosen = known.join(F.broadcast(table) if len(least) <= BROADCAST_LANGUAGES else table, "lang").where("h <= most")
+
+    def pick(batches):
+        for batch in slices(batches, "text", 1 << 20):
+            cut = [windows(t.encode()) for t in batch.column("text").to_pylist()]
+            some = [w[np.unique(np.linspace(0, len(w) - 1, WINDOWS).astype(int))].tobytes() for w in cut]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(some, pa.binary())], names=["lang", "h", "windows"])
+
+    rows = chosen.select("lang", "h", "text").mapInArrow(pick, "lang string, h long, windows binary").dropDuplicates(["lang", "h"]).collect()
+    taken: dict[str, int] = {}
+    out = []
+    for r in sorted(rows, key=lambda r: (r.lang, r.h)):
+        taken[r.lang] = taken.get(r.lang, 0) + 1
+        if taken[r.lang] <= each:
+            out.append((r.lang, bytes(r.windows)))
+    return out
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Folded | None:
-    """Fit on at most sample texts of each of the LANGUAGES most frequent values of lang, of the rows that aren't held out."""
-    known = docs.where(f"lang IS NOT NULL AND text IS NOT NULL AND length(text) BETWEEN 1 AND {SAMPLE_CHARS} AND crc32(cast(doc_id as string)) % 3 != 1").select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    classes = sorted(r.lang for r in counts)
-    if not classes:
+    """Fit on the sample of every language; None if no row can be learnt from."""
+    found = sampled(docs, sample)
+    if not found:
         return None
-    many = {r.lang: r["count"] for r in counts}
+    classes = sorted({lang for lang, _ in found})
     x, y = [], []
-    for i, lang in enumerate(classes):
-        # a hash threshold takes some 4 samples, then the order by hash takes the sample: no texts are sorted beyond that
-        part = known.where(F.col("lang") == lang).where(least(F.xxhash64("doc_id"), sample, many[lang]))
-        for r in part.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect():
-            w = windows(r.text.encode())
-            pick = np.unique(np.linspace(0, len(w) - 1, WINDOWS).astype(int))
-            for row in w[pick]:
-                x.append(row)
+    for lang, raw in found:
+        i = classes.index(lang)
+        for row in np.frombuffer(raw, np.uint8).reshape(-1, WINDOW):
+            x.append(row)
+            y.append(i)
+            if np.count_nonzero(row) > 48:  # short texts are to be known as well
+                short = np.zeros(WINDOW, np.uint8)
+                size = 12 + zlib.crc32(row.tobytes()) % 36
+                short[:size] = row[:size]
+                x.append(short)
                 y.append(i)
-                if np.count_nonzero(row) > 48:  # short texts are to be known as well
-                    short = np.zeros(WINDOW, np.uint8)
-                    size = 12 + zlib.crc32(row.tobytes()) % 36
-                    short[:size] = row[:size]
-                    x.append(short)
-                    y.append(i)
     net = Network(classes)
     x, y = np.array(x), np.array(y)
     net.train(x, y, rounds=max(3, min(40, 30_000 // len(x))) if len(classes) > 1 else 1)
@@ -180,7 +207,8 @@ def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, by its whole text.
 
     A text that is null or has no letter is "und" with score 0, and so is every text if no row is labelled. A null
-    doc_id is never trained on, and is not held out. Repeated rows each come out; ties go to the first language by name.
+    doc_id is never trained on, and is not held out. Repeated rows each come out and are learnt from once; ties go to the
+    first language by name. Columns besides doc_id, text and lang aren't looked at.
     """
     spark = docs.sparkSession
     ship(spark)
