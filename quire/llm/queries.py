@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.oracle(), "op9_cover_tree": cover_tree.ORACLE, "op10_secret_scan": secrets.oracle()}
+    return {"op2_warc": warc.ORACLE, "op4_mix_sources": mixing.oracle(), "op9_cover_tree": cover_tree.ORACLE, "op10_secret_scan": secrets.oracle()}

@@ -3,14 +3,17 @@
 Writing: a record per row, every record a gzip member of its own, in files of about file_mb each; a task writes
 under a temporary name and renames at the end, so a lost executor's task leaves nothing that is read. Reading:
 files are planned into partitions by size; a record's headers are parsed first, the pushed filters on the record's
-type and on headers are tested on them, and only then, and only if payloads are asked for, is a payload kept. Paths
-go through pyarrow's filesystems, so any shared store that those open will do.
+type and on headers are tested on them, and only then, and only if payloads are asked for, is a payload decoded. Each
+member has its own length in the extra field of its gzip header, as the format allows, so the reader seeks past the
+rest of an unwanted one; members of other writers, without that field, are inflated and thrown away. Paths go
+through pyarrow's filesystems, so any shared store that those open will do.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,6 +40,8 @@ HEADERS = {  # fixed values: names of the WARC format and of this source's exten
     "refers_to": "X-Refers-To-Page",
 }
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+LENGTH_FIELD = b"QL"
+FIRST = 4096  # bytes that are inflated at once while headers are looked for
 DATE = "1970-01-01T00:00:00Z"
 NUMBERS = ("page_id", "payload_bytes", "refers_to")
 
@@ -83,6 +88,27 @@ def record(row: dict) -> bytes:
     return head.encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
+def member(data: bytes, level: int) -> bytes:
+    """data as a gzip member that has its own length, 8 bytes, in the extra subfield LENGTH_FIELD of its header."""
+    deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    head = struct.pack("<4sIBBH2sHQ", b"\x1f\x8b\x08\x04", 0, 0, 255, 12, LENGTH_FIELD, 8, 24 + len(body) + 8)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def member_length(head: bytes) -> int | None:
+    """The length that a member's header states in LENGTH_FIELD, if its first bytes hold it."""
+    if len(head) < 12 or head[:3] != b"\x1f\x8b\x08" or not head[3] & 4:
+        return None
+    at, end = 12, 12 + int.from_bytes(head[10:12], "little")
+    while at + 4 <= min(end, len(head)):
+        size = int.from_bytes(head[at + 2 : at + 4], "little")
+        if head[at : at + 2] == LENGTH_FIELD and size == 8 and at + 12 <= len(head):
+            return int.from_bytes(head[at + 4 : at + 12], "little")
+        at += 4 + size
+    return None
+
+
 @dataclass
 class Done(WriterCommitMessage):
     files: list
@@ -103,8 +129,7 @@ class WarcWriter(DataSourceArrowWriter):
                     files.append(f"{uuid.uuid4().hex}.warc.gz")
                     out, size = fs.open_output_stream(f"{folder}/_{files[-1]}", compression=None), 0
                 row = {c: x[i].as_py() for c, x in zip(WRITE_COLUMNS, columns, strict=True)}
-                deflate = zlib.compressobj(self.level, zlib.DEFLATED, 31)
-                data = deflate.compress(record(row)) + deflate.flush()
+                data = member(record(row), self.level)
                 out.write(data)
                 size += len(data)
                 if size >= self.limit:
@@ -181,7 +206,7 @@ class WarcReader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds.get(c, pa.string())) for c in order], names=order)
 
         for path in partition.paths:
-            with fs.open_input_stream(path, compression=None) as raw:
+            with fs.open_input_file(path) as raw:
                 for row in records(Stream(raw, path.endswith(".gz")), self.payload, self.passes):
                     rows.append({c: row[c] for c in names})
                     size += len(row["payload"] or b"") + 200
@@ -193,15 +218,24 @@ class WarcReader(DataSourceReader):
 
 
 class Stream:
-    """Bytes of a file of gzip members, or of a plain one, read as far as needed."""
+    """Bytes of a file of gzip members, or of a plain one, read as far as needed. inflated counts the bytes that were inflated."""
 
     def __init__(self, raw, gz: bool):
         self.raw, self.gz, self.data, self.rest = raw, gz, bytearray(), b""
-        self.inflate = None
-
-    def more(self) -> bool:
-        chunk = self.rest or self.raw.read(1 << 18)
+        self.inflate, self.end, self.at, self.inflated = None, None, 0, 0
+
+    def chunk(self) -> bytes:
+        """The bytes that come next; self.at is the place in the file behind them."""
+        out = self.rest
+        if not out:
+            out = self.raw.read(1 << 18)
+            self.at += len(out)
         self.rest = b""
+        return out
+
+    def more(self, most: int = 1 << 20) -> bool:
+        """Append up to most bytes, or, of a plain file, a chunk."""
+        chunk = self.chunk()
         if not chunk:
             if self.inflate is not None:
                 raise EOFError("a WARC file ends inside a gzip member")
@@ -210,10 +244,19 @@ class Stream:
             self.data += chunk
             return True
         if self.inflate is None:
+            while len(chunk) < 24 and (further := self.raw.read(1 << 18)):
+                self.at += len(further)
+                chunk += further
+            length = member_length(chunk[: 1 << 12])
+            self.end = None if length is None else self.at - len(chunk) + length
             self.inflate = zlib.decompressobj(31)
-        self.data += self.inflate.decompress(chunk)
+        out = self.inflate.decompress(chunk, most)
+        self.inflated += len(out)
+        self.data += out
         if self.inflate.eof:
             self.rest, self.inflate = self.inflate.unused_data, None
+        else:
+            self.rest = self.inflate.unconsumed_tail
         return True
 
     def head(self) -> bytes | None:
@@ -221,7 +264,7 @@ class Stream:
         at = 0
         while (end := self.data.find(b"\r\n\r\n", max(0, at - 3))) < 0:
             at = len(self.data)
-            if not self.more():
+            if not self.more(FIRST):
                 if bytes(self.data).strip():
                     raise EOFError("a WARC file ends inside a header")
                 return None
@@ -229,38 +272,62 @@ class Stream:
         del self.data[: end + 4]
         return out
 
-    def take(self, n: int, keep: bool) -> bytes | None:
-        """The next n bytes if they are to be kept; else they go by in pieces."""
-        if keep:
-            while len(self.data) < n:
-                if not self.more():
-                    raise EOFError("a WARC file ends inside a payload")
-            out = bytes(self.data[:n])
-            del self.data[:n]
-            return out
+    def take(self, n: int) -> bytes:
+        """The next n bytes."""
+        while len(self.data) < n:
+            if not self.more():
+                raise EOFError("a WARC file ends inside a payload")
+        out = bytes(self.data[:n])
+        del self.data[:n]
+        return out
+
+    def skip(self, n: int) -> None:
+        """Pass over the n bytes that end the record: by a seek if its member is unfinished and states its length, else in pieces."""
+        if self.inflate is not None and self.end is not None and n > len(self.data):
+            start = self.at - len(self.rest)
+            if self.end < start:
+                raise ValueError("a gzip member states a wrong length")
+            if self.end <= self.at:
+                self.rest = self.rest[self.end - start :]
+            else:
+                self.raw.seek(self.end)
+                self.rest, self.at = b"", self.end
+            self.data, self.inflate = bytearray(), None
+            return
         while n:
             if not self.data and not self.more():
                 raise EOFError("a WARC file ends inside a payload")
             gone = min(n, len(self.data))
             del self.data[:gone]
             n -= gone
-        return None
+
+
+def fields_of(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; bytes that aren't UTF-8 are replaced."""
+    pairs = (x.split(":", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ":" in x)
+    return {k.strip().lower(): v.strip(" \t") for k, v in pairs}
 
 
 def records(stream: Stream, payload: bool, passes) -> Iterator[dict]:
+    """The records that pass, headers first. A record without Content-Length is taken to have no payload."""
     while (head := stream.head()) is not None:
-        lines = head.decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-        fields = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
-        row = {c: fields.get(name) for c, name in HEADERS.items()}
+        head = head.lstrip(b"\r\n")
+        if not head.startswith(b"WARC/"):
+            raise ValueError(f"not a WARC record: {head[:40]!r}")
+        fields = fields_of(head)
+        row = {c: fields.get(name.lower()) for c, name in HEADERS.items()}
         for c in NUMBERS:
             row[c] = int(row[c]) if row[c] is not None else None
         row["payload_digest"] = (row["payload_digest"] or "").removeprefix("sha1:") or None
         row["target_uri"] = whole_line(row["target_uri"]) if row["target_uri"] is not None else None
         wanted = passes(row)
-        row["payload"] = stream.take(int(fields["Content-Length"]), wanted and payload)
-        stream.take(4, False)
+        size = int(fields.get("content-length", 0))
+        if wanted and payload:
+            row["payload"] = stream.take(size)
+            stream.skip(4)
+        else:
+            row["payload"] = None
+            stream.skip(size + 4)
         if wanted:
             yield row
 
@@ -346,3 +413,12 @@ def round_trip(pages: DataFrame) -> DataFrame:
         "record_type",
         "refers_to",
     )
+
+
+ORACLE = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS n, sha1(h) AS d FROM p),
+f AS (SELECT d, min(page_id) AS low FROM s GROUP BY d),
+v AS (SELECT page_id, n, low, list_transform(range(8), lambda i: CAST('0x' || substr(d, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS g FROM s JOIN f USING (d))
+SELECT page_id, n AS payload_bytes, list_aggregate(list_transform(g, lambda x: list_aggregate(list_transform([15, 10, 5, 0], lambda b:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((x >> b) & 31) + 1 AS BIGINT), 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id != low THEN low END AS refers_to FROM v"""
