@@ -2,9 +2,13 @@
 
 Points enter in batches of doubling size. A greedy search over the graph so far proposes a point's neighbours; of
 these, nearest first, one is kept unless a kept one is nearer to it by the factor ALPHA. Kept edges get their
-reverse, and lists that overflow are pruned by the same rule. For the largest inner product all points get one
-more coordinate that makes their lengths equal, so nearest by distance is largest by product. All queries of a
-block walk a shard's graph together, a beam each; the beam's products are then taken anew in double precision.
+reverse, and lists that overflow are pruned by the same rule.
+
+For the largest inner product a shard's points are cut into bands of similar length (within RATIO), each with a graph
+of its own, in which points get one more coordinate that makes their lengths equal: nearest by distance is largest by
+product, and within a band that coordinate is small, so it doesn't hide the others. Bands of few points are compared
+whole. Queries take the bands from the longest on and leave out those whose length can't reach their k-th product. All
+queries of a block walk a graph together, a beam each; products are then taken anew in double precision.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ BEAM = 128
 STEP = 4  # nodes of a beam that are opened together
 BATCH = 512
 POOL = 96  # candidates that pruning looks at
+RATIO = 1.15  # of the longest to the shortest vector of a band
+SMALL = 512  # points up to which a band is compared whole
 
 
 def walk(graph: np.ndarray, x: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,26 +138,78 @@ def grow(x: np.ndarray, seed: int = 1) -> tuple[np.ndarray, int]:
     return graph, start
 
 
+def bands(norm: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of norm, which falls, whose values are within RATIO of their first."""
+    out, at = [], 0
+    while at < len(norm):
+        end = int(np.searchsorted(-norm, -norm[at] / RATIO, side="right"))
+        out.append((at, max(end, at + 1)))
+        at = out[-1][1]
+    return out
+
+
 def build(ids: np.ndarray, x: np.ndarray, k: int = K) -> bytes:
+    """The classes of equal vectors, longest first, and a graph for each band of more than SMALL; its nodes count from the band's start."""
     v, members, bounds = classes(ids, x, k + 1)
-    norm2 = (v**2).sum(1)
-    flat = np.hstack([v, np.sqrt(np.maximum(norm2.max() - norm2, 0))[:, None]])
-    scale = np.abs(flat).max()
-    graph, start = grow((flat / scale).astype(np.float32))
-    return dump(v=v, members=members, bounds=bounds, graph=graph, start=start, scale=scale)
+    norm = length(v)
+    turn = np.argsort(-norm, kind="stable")
+    place = np.diff(bounds)[turn]
+    members = np.concatenate([members[bounds[c] : bounds[c + 1]] for c in turn]) if len(turn) else members
+    v, norm, bounds = v[turn], norm[turn], np.concatenate(([0], np.cumsum(place)))
+    graph, starts, edges = np.full((len(v), DEGREE), -1, np.int32), [], []
+    for low, high in bands(norm):
+        edges.append((low, high))
+        starts.append(-1)
+        if high - low > SMALL:
+            part = v[low:high] / norm[low]
+            flat = np.hstack([part, np.sqrt(np.maximum(1 - (part**2).sum(1), 0))[:, None]]).astype(np.float32)
+            graph[low:high], starts[-1] = grow(flat)
+    return dump(v=v, norm=norm, members=members, bounds=bounds, graph=graph, starts=np.array(starts), edges=np.array(edges).reshape(-1, 2))
+
+
+def length(x: np.ndarray) -> np.ndarray:
+    """Of each row, without overflow on the way."""
+    most = np.abs(x).max(1, initial=0)
+    safe = np.where(most > 0, most, 1)
+    return most * np.sqrt(((x / safe[:, None]) ** 2).sum(1))
 
 
 def answer(data: bytes, query_ids: np.ndarray, queries: np.ndarray, k: int = K, beam: int = BEAM):
     index = load(data)
-    v = index["v"]
-    small = np.hstack([v / index["scale"], np.zeros((len(v), 1))]).astype(np.float32)
+    v, norm = index["v"], index["norm"]
     out = ([], [], [])
     for at in range(0, len(queries), BATCH):
         q = queries[at : at + BATCH]
-        flat = np.hstack([q / np.abs(q).max(1, keepdims=True), np.zeros((len(q), 1))]).astype(np.float32)
-        found, _ = walk(index["graph"], small, int(index["start"]), flat, max(beam, 2 * k))
-        scores = np.einsum("ij,ikj->ik", q, v[found])
-        got = best_ids(query_ids[at : at + BATCH], found, scores, index["members"], index["bounds"], k)
+        own = length(q)
+        unit = (q / own[:, None]).astype(np.float32)
+        ids, scores = np.full((len(q), 0), -1, np.int64), np.zeros((len(q), 0))
+        reached = np.full(len(q), -np.inf)  # the k-th best product so far, the query's own row aside
+        for (low, high), start in zip(index["edges"].tolist(), index["starts"].tolist(), strict=True):
+            live = np.flatnonzero(own * norm[low] * (1 + 1e-9) >= reached)
+            if not len(live):
+                continue
+            if start < 0:
+                s = q[live] @ v[low:high].T
+                some = np.argpartition(-s, min(k, high - low - 1), axis=1)[:, : k + 1]
+                # equal scores at the edge are left to the smaller ids by taking all that reach it
+                edge = np.take_along_axis(s, some, 1).min(1, keepdims=True)
+                wide = int((s >= edge - 1e-9 * np.abs(edge)).sum(1).max())
+                found = low + np.argsort(-s, axis=1, kind="stable")[:, :wide]
+            else:
+                part = np.hstack([v[low:high] / norm[low], np.zeros((high - low, 1))]).astype(np.float32)
+                flat = np.hstack([unit[live], np.zeros((len(live), 1), np.float32)])
+                found, _ = walk(index["graph"][low:high], part, start, flat, max(beam, 2 * k))
+                found = np.where(found >= 0, found + low, -1)
+            new_ids, new_scores = np.full((len(q), found.shape[1]), -1, np.int64), np.full((len(q), found.shape[1]), -np.inf)
+            new_ids[live] = found
+            new_scores[live] = np.where(found >= 0, np.einsum("ij,ikj->ik", q[live], v[found]), -np.inf)
+            ids, scores = np.hstack([ids, new_ids]), np.hstack([scores, new_scores])
+            if scores.shape[1] > 4 * beam:  # what can't be among the best goes
+                best = np.argsort(-scores, axis=1, kind="stable")[:, : 2 * beam]
+                ids, scores = np.take_along_axis(ids, best, 1), np.take_along_axis(scores, best, 1)
+            if scores.shape[1] > k + 1:
+                reached = -np.partition(-scores, k, axis=1)[:, k]
+        got = best_ids(query_ids[at : at + BATCH], ids, scores, index["members"], index["bounds"], k)
         for a, b in zip(out, got, strict=True):
             a.extend(b if isinstance(b, list) else b.tolist())
     return out
@@ -160,7 +218,7 @@ def answer(data: bytes, query_ids: np.ndarray, queries: np.ndarray, k: int = K,
 def nearest(embeddings: DataFrame, every: int = EVERY, k: int = K, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the k found with the largest inner products for each query, ties to the smaller vec_id.
 
-    Null, zero and non-finite vectors, those of unusual length and rows without an id take no part. Rows that share an
+    Null, zero and non-finite vectors, those with an unusual number of components and rows without an id take no part. Rows that share an
     id are one row with the smallest of their vectors. Fewer than k candidates are all found; an empty table gives an
     empty result. Columns besides vec_id and embedding aren't looked at.
     """
