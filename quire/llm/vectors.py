@@ -2,7 +2,7 @@
 
 Rows go to shards and queries to blocks by hashes of their ids, so equal vectors, however many, are dealt evenly. In
 a shard equal vectors are one class of which the k + 1 smallest ids count: k, besides the query's own, fill any answer.
-Every pair of shard and block is one group of bounded size; answers meet in a ranking whose partial form drops all
+A shard and BLOCKS blocks are one group of bounded size; answers meet in a ranking whose partial form drops all
 but k rows a query before the shuffle.
 """
 
@@ -19,6 +19,7 @@ from quire.llm.common import ship, spill
 
 SHARD = 8192
 BLOCK = 2048
+BLOCKS = 32  # of queries that meet a shard's index in one task: it is shuffled and loaded once for them
 
 
 def usable(table: DataFrame, zeros: bool) -> DataFrame:
@@ -105,18 +106,19 @@ def search(rows: DataFrame, every: int, k: int, build: Callable, answer: Callabl
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([dump(ids=ids, x=x)], pa.binary())})
 
     def meet(key, left, right):
-        got = ([], [], [])
-        if len(left) and len(right):
-            q = load(right.column("data")[0].as_py())
-            got = answer(left.column("data")[0].as_py(), q["ids"], q["x"])
+        parts = []
+        for data in right.column("data") if len(left) else []:
+            q = load(data.as_py())
+            parts.append(answer(left.column("data")[0].as_py(), q["ids"], q["x"]))
+        got = [[x for part in parts for x in part[i]] for i in range(3)]
         numbers = pa.int64() if kind == "long" else pa.float64()
-        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2]).cast(numbers)})
+        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], numbers)})
 
     deal = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     indexes = spill(rows.withColumn("shard", deal(shards, 1)).groupBy("shard").applyInArrow(index, "shard int, data binary"), "indexes")
     packs = spill(queries.withColumn("block", deal(blocks, 2)).groupBy("block").applyInArrow(pack, "block int, data binary"), "query-blocks")
-    left = indexes.select("shard", "data", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = packs.select("block", "data", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meet, f"query_id long, vec_id long, score {kind}")
+    left = indexes.select("shard", "data", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // BLOCKS))).alias("slot"))
+    right = packs.select(F.floor(F.col("block") / BLOCKS).cast("int").alias("slot"), "data", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    found = left.groupBy("shard", "slot").cogroup(right.groupBy("shard", "slot")).applyInArrow(meet, f"query_id long, vec_id long, score {kind}")
     turn = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
