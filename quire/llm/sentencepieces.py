@@ -1,12 +1,14 @@
-"""SentencePiece encoding and decoding of words behind a worker's cache, by the criterion of the model's type.
-
-The scores of a BPE model are ranks of merges, not log probabilities: its words that the cache misses are encoded by
-the library, which applies the merges in order. For the other types each word takes the sequence of the model's pieces
-with the largest sum of scores (the unigram criterion), by batched Viterbi in numpy. Words of equal length advance
-together, position by position: hashes of all their substrings that end there probe the sorted hashes of the pieces,
-and one maximum over the substrings' starts gives the best score and the backpointer for all words at once. A character
-that no piece covers costs the lowest score less 10 and becomes its UTF-8 bytes' pieces. Of equal scores the longest
-last piece wins.
+"""SentencePiece encoding and decoding of words behind a worker's cache, by batched Viterbi in numpy.
+
+Words of equal length advance together, position by position: hashes of all their substrings that end there probe the
+sorted hashes of the pieces, and one maximum over the substrings' starts gives the best score and the backpointer
+for all words at once. A character that no piece covers becomes its UTF-8 bytes' pieces.
+
+What is maximised follows the model's type. For unigram models it is the sum of the pieces' scores; a character
+without a piece costs the lowest score less 10, and of equal scores the longest last piece wins. The scores of a BPE model
+are ranks of merges. Its encoding is the one sequence in which merges leave every two neighbours apart, and every
+prefix has one, too: so a prefix's best score is the number of pieces in its only valid sequence, and the last piece of a
+longer one must be a neighbour that merges leave apart (class Merges). The ids are the library's.
 """
 
 from __future__ import annotations
@@ -70,6 +72,12 @@ class Encoder:
         out[maybe[hit]] = at[hit]
         return out
 
+    def gains(self, found: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """[words, starts] what the pieces found (-1: none) add behind the pieces before (-1: none, -2: the start); -inf where they can't stand."""
+        score = np.where(found >= 0, self.scores[found], -np.inf)
+        score[found[:, -1] < 0, -1] = self.unknown
+        return score
+
     def equal_lengths(self, chars: np.ndarray) -> list[bytes]:
         """chars: n words of one length as code points -> for each the ids as little-endian int32 bytes."""
         n, length = chars.shape
@@ -79,16 +87,14 @@ class Encoder:
         best[:, 0] = 0
         back = np.zeros((n, length + 1), np.int32)
         piece = np.full((n, length + 1), -1, np.int32)
+        piece[:, 0] = -2
         ends = np.zeros((n, most + 1), np.uint64)  # of the substring of each size that ends here
         with np.errstate(over="ignore"):
             for end in range(1, length + 1):
                 sizes = min(end, most)
                 ends[:, 1 : sizes + 1] = ends[:, :sizes] * BASE + mixed[:, end - 1 : end]
                 found = self.probe(ends[:, sizes:0:-1].ravel()).reshape(n, sizes)  # longest first
-                score = np.where(found >= 0, self.scores[found], -np.inf)
-                alone = found[:, -1] < 0
-                score[alone, -1] = self.unknown
-                score += best[:, end - sizes : end]
+                score = self.gains(found, piece[:, end - sizes : end]) + best[:, end - sizes : end]
                 pick = score.argmax(axis=1)
                 rows = np.arange(n)
                 best[:, end] = score[rows, pick]
@@ -125,27 +131,105 @@ class Encoder:
         return out
 
 
-class Merges:
-    """The encoder of BPE models: the library's merges, word by word."""
+class Merges(Encoder):
+    """The encoder of BPE models.
+
+    Merging alone, a piece passes through states; its outermost symbol on either side (its edge) grows step by step. The
+    mark of a step is the least priority of all merges up to it: with others beside it, the piece gets to that step
+    when no merge above the mark is left anywhere. So edge x of one piece and y of the next are there together while the
+    priority under way is within the marks of both, and the two pieces are pulled together if x + y is a piece of such
+    a priority. Of equal priorities the left merge comes first. Two pieces that no pair of edges pulls together stay
+    apart, and a sequence of which all neighbours stay apart is what merging the whole text gives.
+    """
+
+    TABLE = 1 << 19  # pairs of neighbours whose answer a worker keeps: 5 MB
 
     def __init__(self, name: str):
-        v = self.v = vocabulary(name)
-        alone = v.processor.piece_to_id(SPACE)  # the library always adds a space, so it can't be asked for a single one
-        if alone == v.unknown:
-            of_bytes = v.byte_ids[list(SPACE.encode())]
-            self.space = (of_bytes if (of_bytes >= 0).all() else np.array([alone])).astype("<i4").tobytes()
-        else:
-            self.space = np.array([alone], "<i4").tobytes()
+        super().__init__(name)
+        v = self.v
+        texts = {v.pieces[i]: i for i in v.ids.tolist()}
+        made = {t: float(v.scores[i]) for t, i in texts.items() if len(t) > 1}
+        if any(c not in texts for t in made for c in t):
+            raise ValueError("a piece has a character that is no piece")
+        size = self.size = len(v.pieces)
+        self.whole = np.zeros(size, bool)  # merging the piece's text alone gives the piece
+        edges: list[list[tuple]] = [[], []]  # of the right side, of the left side: (piece, symbol, mark when it comes, mark when it goes)
+        for text, i in texts.items():
+            symbols, mark = list(text), np.inf
+            shown = [[symbols[-1], mark], [symbols[0], mark]]
+            while len(symbols) > 1:
+                options = [made.get(a + b, -np.inf) for a, b in zip(symbols, symbols[1:], strict=False)]
+                top = max(options)
+                if top == -np.inf:
+                    break
+                k = options.index(top)
+                mark = min(mark, top)
+                symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+                for side, symbol in enumerate((symbols[-1], symbols[0])):
+                    if symbol != shown[side][0]:
+                        edges[side].append((i, texts[shown[side][0]], shown[side][1], mark))
+                        shown[side] = [symbol, mark]
+            if len(symbols) == 1:
+                self.whole[i] = True
+                for side in (0, 1):
+                    edges[side].append((i, i, shown[side][1], -np.inf))
+        self.edges = []
+        for found in edges:
+            found.sort(key=lambda x: x[0])
+            of, symbol, come, go = (np.array(c) for c in zip(*found, strict=True))
+            self.edges.append((np.searchsorted(of, np.arange(size + 1)), symbol, come, go))
+        pairs = {texts[t[:k]] * size + texts[t[k:]]: p for t, p in made.items() for k in range(1, len(t)) if t[:k] in texts and t[k:] in texts}
+        self.pair = np.array(sorted(pairs), np.int64)
+        self.priority = np.array([pairs[k] for k in self.pair.tolist()])
+        self.asked, self.said = np.full(self.TABLE, -1, np.int64), np.zeros(self.TABLE, bool)
+
+    def decide(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether merges leave the pieces apart, by all pairs of their edges."""
+        (at_l, symbol_l, come_l, go_l), (at_r, symbol_r, come_r, go_r) = self.edges
+        n_l, n_r = at_l[left + 1] - at_l[left], at_r[right + 1] - at_r[right]
+        many = n_l * n_r
+        who = np.repeat(np.arange(len(left)), many)
+        k = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
+        x, y = at_l[left][who] + k // n_r[who], at_r[right][who] + k % n_r[who]
+        key = symbol_l[x] * self.size + symbol_r[y]
+        place = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        p = np.where(self.pair[place] == key, self.priority[place], np.nan)
+        pulled = (go_l[x] < p) & (p <= come_l[x]) & (go_r[y] <= p) & (p <= come_r[y])
+        out = self.whole[left] & self.whole[right]
+        out[who[pulled]] = False
+        return out
 
-    def words(self, new: list[str]) -> dict[str, bytes]:
-        found = self.v.processor.encode([w[1:] for w in new], num_threads=1)
-        return {w: np.array(ids, "<i4").tobytes() if len(w) > 1 else self.space for w, ids in zip(new, found, strict=True)}
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """decide() behind a table of pairs asked before."""
+        key = left.astype(np.int64) * self.size + right
+        with np.errstate(over="ignore"):
+            slot = (mix(key.view(np.uint64)) & np.uint64(self.TABLE - 1)).astype(np.int64)
+        new = np.flatnonzero(self.asked[slot] != key)
+        out = self.said[slot]
+        if len(new):
+            distinct, inverse = np.unique(key[new], return_inverse=True)
+            said = np.concatenate([self.decide(part // self.size, part % self.size) for part in np.array_split(distinct, len(distinct) // 65536 + 1)])
+            out[new] = said[inverse]
+            self.asked[slot[new]], self.said[slot[new]] = key[new], out[new]
+        return out
+
+    def gains(self, found: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """1 for the one piece that can end here."""
+        out = np.full(found.shape, -np.inf)
+        row, col = np.nonzero(found >= 0)
+        piece, last = self.ids[found[row, col]], before[row, col]
+        fine = np.where(last == -2, self.whole[piece], True)
+        pair = np.flatnonzero(last >= 0)
+        fine[pair] = self.apart(last[pair], piece[pair])
+        out[row[fine], col[fine]] = 1
+        out[found[:, -1] < 0, -1] = 1
+        return out
 
 
 class Codec:
-    """An encoder, Viterbi's if none is given, with a cache of words; one a process."""
+    """An encoder, that of unigram models if none is given, with a cache of words; one a process."""
 
-    def __init__(self, name: str, encoder: Encoder | Merges | None = None):
+    def __init__(self, name: str, encoder: Encoder | None = None):
         self.encoder, self.known, self.old = encoder or Encoder(name), {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
