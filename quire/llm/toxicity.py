@@ -35,6 +35,7 @@ SHRINK = 30  # words that every text has besides its own, of weight 0
 CLIP = 0.03  # the rate beyond which a beginning marks a text no more strongly
 LONGEST = 16
 CACHE = 200_000  # words of either half of a worker's cache
+LONG = 48  # longer words aren't kept there
 SURE = 4.0  # standard errors between the classes' rates that make a landmark
 COST = 1.0
 RIDGE = 0.001
@@ -253,6 +254,9 @@ class Scorer:
             self.learn(new[at : at + 8192])
         m = self.model
         f = [sum(map(self.known.__getitem__, ws)) / (len(ws) + SHRINK) + m.bias for ws in cut]
+        for w in new:
+            if len(w) > LONG:
+                del self.known[w]
         return (1 / (1 + np.exp(-np.clip(m.a * np.array(f) + m.b, -500, 500)))).tolist()
 
 
@@ -268,7 +272,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     marks = choose(counts, y)
     landmarks = Landmarks(marks)
     value, vector = np.linalg.eigh(landmarks.kernel(marks).astype(np.float64))
-    value = np.maximum((value), 1e-3)
+    value = np.maximum(value, 1e-3)
     root = vector / np.sqrt(value)  # the Nystroem map: kernel to the landmarks times this
     every = list(dict.fromkeys(w for c in counts for w in c))
     place = {w: i for i, w in enumerate(every)}
@@ -307,7 +311,10 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most sample rows of each class, of the rows that aren't held out; a doc_id labelled twice counts by its largest label."""
+    """Fit on at most sample ids of each class, of the rows that aren't held out.
+
+    An id labelled twice counts by its largest label, one that several rows share by the smallest of their texts.
+    """
     labels = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     short = f"text IS NOT NULL AND length(text) <= {SAMPLE_CHARS}"
     there = learnable(docs.where(short).select("doc_id")).join(learnable(labels), "doc_id")  # ids only are shuffled
@@ -319,7 +326,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not ids:
         return fit([], [])
     picked = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")  # two samples at most
-    rows = docs.where(short).select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()
+    rows = docs.where(short).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
     rows = sorted(rows, key=lambda r: (-r.toxic, zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
     texts, y = [r.text for r in rows], [r.toxic for r in rows]
     return fit(texts, y)
@@ -350,7 +358,8 @@ def score_batches(batches, model, whole_rows: bool):
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, by its whole text.
 
-    A null text is scored as an empty one; repeated rows each come out. A null doc_id is never trained on, and is not
+    A null text is scored as an empty one; a long run without white space is one word, of which each landmark counts where
+    it fits best; repeated rows each come out. A null doc_id is never trained on, and is not
     held out. Columns besides doc_id and text aren't looked at. Without labels of both classes the score is constant.
     """
     spark = docs.sparkSession
