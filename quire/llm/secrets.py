@@ -9,7 +9,7 @@ only the first and last start take part, which is all that the test needs, so no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.llm.common import spill
 
@@ -24,6 +24,30 @@ WEAK_SECRET = "[A-Za-z0-9+/]{32,}"
 ENDPOINT = "[Hh][Tt][Tt][Pp][Ss]?://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+"
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 SPAN = "array<struct<start:int,ord:int,end:int,ok:boolean>>"
+FOLD = 256  # matches of a text that are folded together
+PIECE = 1024  # code points of the pieces from which a masked text is put together
+BROADCAST_ROWS, BROADCAST_SPANS = 50_000, 400_000  # masked rows and their spans, some 10 MB; beyond it rows that can hold a secret are joined by a shuffle
+
+
+def fold(parts: Column, step, out_type: str) -> Column:
+    """struct(at int, out) after step(acc, part) has seen all parts in order; step gives (at, array of what to append).
+
+    An array can't grow in place, so parts are folded FOLD at a time and a text's blocks are flattened at the end:
+    n parts take n * FOLD + (n / FOLD)^2 copies, not n^2.
+    """
+    zero = lambda at: F.struct(at.alias("at"), F.array().cast(out_type).alias("out"))
+
+    def one(acc: Column, x: Column) -> Column:
+        at, new = step(acc, x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], new).alias("out"))
+
+    def block(acc: Column, number: Column) -> Column:
+        inner = F.aggregate(F.slice(parts, number * FOLD + 1, F.lit(FOLD)), zero(acc["at"]), one)
+        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / FOLD).cast("int"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{out_type}>").alias("out"))
+    return F.aggregate(blocks, start, block, lambda acc: F.struct(acc["at"].alias("at"), F.flatten(acc["out"]).alias("out")))
 
 
 def spans(text: Column, pattern: str, number: int, ok: Column | None = None, first: str | None = None) -> Column:
@@ -35,15 +59,14 @@ def spans(text: Column, pattern: str, number: int, ok: Column | None = None, fir
         F.transform(matches, F.length).alias("len"),
         fine.alias("ok"),
     )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[Column, Column]:
         start = acc["at"] + x["gap"]
         end = start + x["len"]
         one = F.struct(start.alias("start"), F.lit(number).alias("ord"), end.alias("end"), x["ok"].alias("ok"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return end, F.array(one)
 
-    found = F.filter(F.aggregate(parts, zero, step, lambda acc: acc["out"]), lambda x: x["ok"])
+    found = F.filter(fold(parts, step, SPAN)["out"], lambda x: x["ok"])
     return F.when(text.rlike(first or pattern), found).otherwise(F.array().cast(SPAN))
 
 
@@ -80,28 +103,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
     base, weak = base_and_weak(F.col("t"))
-    # the weak runs that overlap a base span or an identifier say nothing new
-    found = rows.select("doc_id", F.xxhash64("t").alias("k"), base.alias("base"), weak.alias("raw")).select(
-        "doc_id",
-        "k",
-        "base",
-        F.filter(
-            "raw",
-            lambda x: ~((x["ord"] == 4) & F.exists(F.concat(F.col("base"), F.filter("raw", lambda y: y["ord"] == 3)), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))),
-        ).alias("weak"),
-    )
-    found = spill(found, "secret-spans")
+    found = spill(rows.select("doc_id", F.xxhash64("t").alias("k"), base.alias("base"), weak.alias("weak")), "secret-spans")
     open_ = found.where(F.size("weak") > 0).dropDuplicates(["doc_id", "k"])
+    each = open_.select("doc_id", "k", F.explode(F.concat("base", "weak")).alias("x"))
+    # the weak runs that overlap a base span or an identifier say nothing new
+    strong = F.col("x.ord") < 4
+    ahead = W.partitionBy("doc_id", "k").orderBy("x.start", "x.ord").rowsBetween(W.unboundedPreceding, -1)
+    behind = W.partitionBy("doc_id", "k").orderBy(F.desc("x.start"), F.desc("x.ord")).rowsBetween(W.unboundedPreceding, -1)
+    each = each.withColumn("e", F.max(F.when(strong, F.col("x.end"))).over(ahead)).withColumn("s", F.min(F.when(strong, F.col("x.start"))).over(behind))
+    each = each.where("x.ord != 4 OR NOT (coalesce(e > x.start, false) OR coalesce(s < x.end, false))").drop("e", "s")
     role = F.when(F.col("x.ord").isin(1, 3), "id").when(F.col("x.ord").isin(0, 2, 4), "secret")
     parts = (
-        open_.select("doc_id", "k", F.explode(F.concat("base", "weak")).alias("x"))
-        .select("doc_id", "k", role.alias("role"), F.col("x.start").alias("start"))
+        each.select("doc_id", "k", role.alias("role"), F.col("x.start").alias("start"))
         .where("role IS NOT NULL")
         .groupBy("doc_id", "k", "role", F.floor(F.col("start") / scope).alias("own"))
         .agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
         .select("doc_id", "k", "role", "lo", "hi", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)).alias("bucket"))
     )
-    ask = open_.select("doc_id", "k", F.explode("weak").alias("x")).withColumn("bucket", F.floor(F.col("x.start") / scope))
+    ask = each.where("x.ord >= 3").withColumn("bucket", F.floor(F.col("x.start") / scope))
     p, q = parts.alias("p"), ask.alias("q")
     near = (F.abs(F.col("p.lo") - F.col("q.x.start")) <= scope) | (F.abs(F.col("p.hi") - F.col("q.x.start")) <= scope)
     linked = (
@@ -131,28 +150,58 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     )
 
 
+def can_hold(text: Column) -> Column:
+    """False only for texts without any span: a linked one needs an identifier and a secret."""
+    weak = text.rlike(WEAK_ID) & text.rlike(WEAK_SECRET)
+    return F.coalesce(text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX) | weak, F.lit(False))
+
+
+def masked(text: Column, gaps: Column, tail: Column, mark: str) -> Column:
+    """text's gaps (start, end) with a mark behind each, and what is left from tail on, in time linear in the text and the gaps."""
+    pieces = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0))
+
+    def part(pieces: Column, start: Column, end: Column) -> Column:
+        low, high = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+        at = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+        whole = F.array_join(F.slice(pieces, low + 2, F.greatest(high - low - 1, F.lit(0))), "")
+        across = F.concat(F.substring(at(low), start % PIECE + 1, F.lit(PIECE)), whole, F.substring(at(high), F.lit(1), end % PIECE))
+        return F.when(low == high, F.substring(at(low), start % PIECE + 1, end - start)).otherwise(across)
+
+    # a fold over one element binds the pieces, so they are cut once a text
+    once = lambda found: F.concat(F.array_join(F.transform(gaps, lambda g: F.concat(part(found, g["start"], g["end"]), F.lit(mark))), ""), part(found, tail, F.length(text)))
+    return F.get(F.transform(F.array(pieces), once), F.lit(0))
+
+
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every base or linked span replaced by mark; overlapping spans become one. Rows without spans stay as they are, null texts too.
 
-    The text meets the spans only where there are any.
+    The spans are broadcast while they are few (BROADCAST_ROWS, BROADCAST_SPANS); beyond that only rows that can hold a secret are shuffled.
     """
     spans_of = scan(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "k"])
-    spans_of = spans_of.select(F.col("doc_id").alias("__quire_id"), F.col("k").alias("__quire_key"), F.col("spans").alias("__quire_spans"))
+
+    def step(acc: Column, x: Column) -> tuple[Column, Column]:
+        gap = F.struct(acc["at"].alias("start"), x["start"].alias("end"))
+        return F.greatest(acc["at"], x["end"]), F.when(x["start"] >= acc["at"], F.array(gap)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+    spans_of = spans_of.select(
+        F.col("doc_id").alias("__quire_id"), F.col("k").alias("__quire_key"), fold(F.col("spans"), step, "array<struct<start:int,end:int>>").alias("__quire_kept")
+    )
+    spans_of = spill(spans_of, "masks")
+    size = spans_of.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("__quire_kept.out")), F.lit(0)).alias("spans")).first()
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.join(spans_of, F.col("doc_id").eqNullSafe(F.col("__quire_id")) & (key == F.col("__quire_key")), "left")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.expr("0") + x["start"] - acc["at"]
-        piece = F.when(
-            gap >= 0, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, gap), F.lit(mark))
-        ).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), piece.alias("out"))
-
-    cleaned = F.aggregate("__quire_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.col("__quire_spans").isNull(), F.col("text")).otherwise(cleaned)
+    same = F.col("doc_id").eqNullSafe(F.col("__quire_id")) & (key == F.col("__quire_key"))
+    if size.rows <= BROADCAST_ROWS and size.spans <= BROADCAST_SPANS:
+        joined = docs.join(F.broadcast(spans_of), same, "left")
+    else:
+        gate = can_hold(F.col("text").cast("string"))
+        clean = docs.where(~gate)
+        for f in spans_of.schema.fields:
+            clean = clean.withColumn(f.name, F.lit(None).cast(f.dataType))
+        joined = docs.where(gate).join(spans_of, same, "left").unionByName(clean)
+    kept = F.col("__quire_kept")
+    text = F.when(kept.isNull(), F.col("text")).otherwise(masked(F.col("text").cast("string"), kept["out"], kept["at"], mark))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("__quire_spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
+        joined = joined.withColumn("n_chars", F.when(kept.isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
     return joined.withColumn("text", text).select(*docs.columns)
 
 
