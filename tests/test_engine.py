@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from quire import catalog
 from quire.functions.solver import update, weights
@@ -213,8 +214,56 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = [(1, 0, 2), (2, 0, 3), (1, 1, 2), (2, 1, 3), (3, 0, 1), (1, 1, 2)]
     spark.createDataFrame(rows, "page long, patch long, total long").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("page long, patch long, total long").parquet(str(tmp_path / "in"))
-    got = run_to_end(complete_pages(stream), "complete_pages_test", str(tmp_path / "ck")).collect()
-    assert sorted(map(tuple, got)) == [(1, 2), (3, 1)]
+    out = complete_pages(stream)
+    assert sorted(map(tuple, run_to_end(out, str(tmp_path / "out")).collect())) == [(1, 2), (3, 1)]
+    spark.createDataFrame([(3, 0, 1), (2, 2, 3), (1, 0, 2)], "page long, patch long, total long").write.mode("append").parquet(str(tmp_path / "in"))
+    again = complete_pages(spark.readStream.schema("page long, patch long, total long").parquet(str(tmp_path / "in")))
+    assert sorted(map(tuple, run_to_end(again, str(tmp_path / "out")).collect())) == [(1, 2), (2, 3), (3, 1)]
+
+
+def test_progress_is_throttled():
+    from quire.streaming.pages import Progress
+
+    shown, times = [], iter([0.0, 0.1, 0.15, 0.25, 0.3])
+    p = Progress(lambda q, n: shown.append((q, n)), 0.2, lambda: next(times))
+    for n in (5, 5, 5, 5):
+        p.add("q", n)
+    p.add("q", 0, end=True)
+    assert shown == [("q", 5), ("q", 20), ("q", 20)]
+
+
+def test_control_plane(spark):
+    from quire.plans import control
+
+    ticks = iter(range(1000))
+    cost = {1: 9, 2: 10, 4: 12, 8: 40}
+    now = [0.0]
+
+    def run(batch):
+        now[0] += cost[batch]
+
+    probes = control.probe_batches(run, 8, (1, 2, 4, 8, 16), 60, lambda: now[0])
+    assert [p.batch for p in probes] == [1, 2, 4, 8] and control.best_batch(probes) == 4
+    assert [p.batch for p in control.probe_batches(run, 8, (1, 2, 4, 8), 15, lambda: now[0])] == [1, 2]
+    assert control.probe_batches(run, 0) == [] and control.best_batch([]) == 8 and control.best_batch([], "gpu") == 32
+    assert [control.should_probe(n) for n in (20, 21)] == [False, True] and next(ticks) == 0
+    assert [control.provider(x) for x in (["CPU", "CUDA"], ["DirectML", "CPU"], [])] == ["CUDA", "DirectML", "CPU"]
+    assert [control.gray_mode(*x) for x in ((None, True), ("model", True), ("model", False), ("odd", True), ("plain", False))] == ["none", "model", "classic", "none", "plain"]
+    assert control.capable(["a", "b"], ["b"]) == (False, ["a"])
+
+    def end():
+        raise EOFError
+
+    assert [control.unattended(5, None), control.unattended(6, lambda: "n"), control.unattended(6, lambda: ""), control.unattended(6, end)] == [False, False, True, True]
+    measure = lambda df: df.agg(F.sum("size")).first()[0]
+    start = spark.createDataFrame([(1, 50_000), (2, 50_000)], "k int, size long")
+    shrink = lambda share: lambda df: df.withColumn("size", F.floor(F.col("size") * share).cast("long"))
+    kinds = []
+    for limit in (100_000, 90_000, 60_000, 20_000):
+        kept, outcome = control.Ladder(shrink(0.9), [("a", shrink(0.9)), ("worse", shrink(1.1)), ("b", shrink(0.7))], measure, limit).run(start)
+        kinds.append(outcome.kind)
+        assert measure(kept) == outcome.size
+    assert kinds == ["small at first", "small after lossless", "lossy", "still large"]
 
 
 def test_rollback_leaves_no_page_worse(spark):
