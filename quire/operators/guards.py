@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from quire.catalog import register
+from quire.plans.shared import spill
 from quire.plans.tables import CAND, IMAGES_SQL, PREV, all_pages, image_sizes, load, page_images
 
 
@@ -24,12 +25,6 @@ def worse_pages(prev: DataFrame, cand: DataFrame, tolerance: int = 0) -> DataFra
     return p.join(c, "page").where(F.col("cand_payload") > F.col("prev_payload") + tolerance)
 
 
-def snapshots(spark: SparkSession, sf_dir: str):
-    sizes, pages = image_sizes(spark, sf_dir), all_pages(spark, sf_dir)
-    prev_i, cand_i = page_images(spark, sf_dir, PREV), page_images(spark, sf_dir, CAND)
-    return prev_i, cand_i, payload(prev_i, sizes, pages), payload(cand_i, sizes, pages)
-
-
 @register(
     "page_payload",
     """WITH size AS (SELECT p_partkey AS xref, CAST(round(p_retailprice * 100) AS BIGINT) AS size FROM part),
@@ -43,8 +38,17 @@ def page_payload(spark, sf_dir):
 
 @register("page_payload_guard", f"WITH {IMAGES_SQL} SELECT page, p AS prev_payload, c AS cand_payload FROM prev JOIN cand USING (page) WHERE c > p")
 def page_payload_guard(spark, sf_dir):
-    _, _, prev, cand = snapshots(spark, sf_dir)
-    return worse_pages(prev, cand)
+    """One scan: a page's images have a flag for either snapshot. A page without images is never worse."""
+    paid = lambda flag, name: F.coalesce(F.sum(F.when(F.col(flag), F.col("size"))), F.lit(0)).cast("long").alias(name)
+    sums = flagged_images(spark, sf_dir).groupBy("page").agg(paid("in_prev", "prev_payload"), paid("in_cand", "cand_payload"))
+    return sums.where("cand_payload > prev_payload").join(all_pages(spark, sf_dir), "page", "left_semi")
+
+
+def flagged_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page, xref, in_prev, in_cand, size): an image once a page, with the snapshots that it is in."""
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("xref"), F.expr(PREV).alias("p"), F.expr(CAND).alias("c"))
+    each = lines.groupBy("page", "xref").agg(F.bool_or("p").alias("in_prev"), F.bool_or("c").alias("in_cand"))
+    return each.join(image_sizes(spark, sf_dir), "xref", "left")
 
 
 def replace_pages(prev_images: DataFrame, cand_images: DataFrame, bad: DataFrame) -> DataFrame:
@@ -62,25 +66,29 @@ SELECT page, xref, 'cand' AS origin FROM cand_i WHERE page NOT IN (SELECT page F
 UNION ALL SELECT page, xref, 'prev' AS origin FROM prev_i WHERE page IN (SELECT page FROM bad)""",
 )
 def page_rollback_snapshot(spark, sf_dir):
-    prev_i, cand_i, prev, cand = snapshots(spark, sf_dir)
-    return replace_pages(prev_i, cand_i, worse_pages(prev, cand))
+    """The sums over a page stand beside its images, so each image knows from which snapshot its page is taken."""
+    paid = lambda flag: F.coalesce(F.sum(F.when(F.col(flag), F.col("size"))).over(W.partitionBy("page")), F.lit(0))
+    each = flagged_images(spark, sf_dir).withColumn("worse", paid("in_cand") > paid("in_prev"))
+    kept = each.where((F.col("worse") & F.col("in_prev")) | (~F.col("worse") & F.col("in_cand")))
+    return kept.select("page", "xref", F.when(F.col("worse"), "prev").otherwise("cand").alias("origin"))
 
 
 def rollback_to_fixpoint(prev_images, cand_images, sizes, pages, tolerance: int = 0, rounds: int = 3, skip: DataFrame | None = None):
-    """Roll pages back until none is worse, rounds times at most -> (images, flagged pages). Pages in skip are left alone."""
-    prev = payload(prev_images, sizes, pages).cache()
-    flagged = []
+    """Roll pages back until none is worse, rounds times at most -> (images, flagged pages). Pages in skip are left alone.
+
+    Pages that are worse are written after each round, so the plan of the next doesn't hold those before twice.
+    """
+    prev = spill(payload(prev_images, sizes, pages), "payloads")
+    flagged = pages.limit(0).select("page")
     now = cand_images
     for _ in range(rounds):
         bad = worse_pages(prev, payload(now, sizes, pages), tolerance).select("page")
-        bad = bad.join(skip, "page", "left_anti") if skip is not None else bad
-        bad = bad.cache()
+        bad = spill(bad.join(skip, "page", "left_anti") if skip is not None else bad, "worse-pages")
         if bad.isEmpty():
             break
-        flagged.append(bad)
+        flagged = flagged.union(bad)
         now = replace_pages(prev_images, now, bad).drop("origin")
-    none = pages.limit(0).select("page")
-    return now, reduce(DataFrame.union, flagged, none).distinct()
+    return now, flagged.distinct()
 
 
 @register(

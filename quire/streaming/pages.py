@@ -6,17 +6,26 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.catalog import register
-from quire.plans.shared import new_folder
+from quire.plans.shared import new_folder, spill
 from quire.plans.tables import load
 
 PATCHES = "page long, patch long, total long"
 
 
+def running_sums(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """rows with the sum of value over all rows before, in order, as name: ranges of the order are summed apart, and then shifted by the sums of the ranges before."""
+    placed = spill(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    inside = F.coalesce(F.sum(value).over(W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = placed.groupBy("__range").agg(F.sum(value).alias("all"))  # a row a partition
+    shift = ranges.select("__range", F.coalesce(F.sum("all").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
+    return placed.withColumn(name, inside).join(F.broadcast(shift), "__range").withColumn(name, F.col(name) + F.col("__shift")).drop("__range", "__shift")
+
+
 @register(
     "pack_batches",
     """WITH p AS (SELECT conv_id AS page, turn AS patch, count(*) OVER (PARTITION BY conv_id) AS pending, min(conv_id * 1000) OVER (PARTITION BY conv_id) AS arrived FROM conversations),
@@ -30,9 +39,9 @@ def pack_batches(spark: SparkSession, sf_dir: str, size: int = 64):
     """
     c = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page"), F.col("turn").alias("patch"))
     pages = c.groupBy("page").agg(F.count("*").alias("pending"))
-    before = F.coalesce(F.sum("pending").over(W.orderBy(F.desc("pending"), "page").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    pages = running_sums(pages, [F.desc("pending"), F.col("page")], "pending", "before")
     inside = F.row_number().over(W.partitionBy("page").orderBy("patch")) - 1
-    r = c.withColumn("inside", inside).join(pages.withColumn("before", before), "page").withColumn("k", F.col("before") + F.col("inside"))
+    r = c.withColumn("inside", inside).join(pages, "page").withColumn("k", F.col("before") + F.col("inside"))
     return r.select("page", "patch", F.expr(f"k DIV {size}").alias("batch"), (F.col("k") % size).cast("long").alias("place"))
 
 
