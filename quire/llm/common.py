@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quire.plans.shared import new_folder as new_folder, shared_dir as shared_dir, spill as spill
 from quire.plans.ship import ship as ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only on a local master."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir()
-    if not found:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            found = f"file://{tempfile.mkdtemp(prefix='quire-')}"
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/quire-{what}-{uuid.uuid4().hex}"
+    """A table of the fixtures; one whose files give less work than there are cores, such as a single small file, is dealt anew."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() <= cores else rows
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -40,13 +24,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spill(df: DataFrame, what: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back; survives lost executors and keeps columns prunable."""
-    path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def least(hashed: Column, wanted: int, total: int) -> Column:
     """Whether a row's hash is among the smallest, about 4 * wanted of total distinct ones.
 

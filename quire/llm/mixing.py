@@ -111,8 +111,9 @@ def plan(rows: DataFrame, fraction: float, max_epochs: int, weights: dict, seed:
     upto = F.sum("tokens").over(W.partitionBy(*LEAF).orderBy("range").rowsBetween(W.unboundedPreceding, W.currentRow))
     edge = sums.withColumn("upto", upto).where("upto > rest AND upto - tokens <= rest")
     edge = edge.select(*LEAF, "range", (F.col("upto") - F.col("tokens")).alias("before"))
-    inside = keyed.join(edge, [*LEAF, "range"])
-    run = F.sum("tokens").over(W.partitionBy(*LEAF, "range").orderBy("key").rangeBetween(W.unboundedPreceding, W.currentRow))
+    # rows with equal keys, such as all without an id, are one row here
+    inside = keyed.join(edge, [*LEAF, "range"]).groupBy(*LEAF, "range", "key").agg(F.sum("tokens").alias("tokens"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    run = F.sum("tokens").over(W.partitionBy(*LEAF, "range").orderBy("key").rowsBetween(W.unboundedPreceding, W.currentRow))
     last = inside.withColumn("run", run + F.col("before")).where("run <= rest").groupBy(*LEAF).agg(F.max("key").alias("last"))
     cuts = edge.join(last, [*LEAF], "left").select(*LEAF, F.coalesce("last", "range").alias("cut"))
     return spill(leaf.join(cuts, [*LEAF], "left").select(*LEAF, "epochs", "rest", "cut"), "cuts")
