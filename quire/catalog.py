@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.plans.ship import ship
 
-MODULES = ("operators.guards", "operators.profile", "operators.grid", "functions.tensor", "functions.solver", "operators.images", "operators.raster", "functions.content", "functions.vector", "plans.ladder", "streaming.pages", "sources.files", "sources.snapshots")
+MODULES = ("operators.guards", "operators.profile", "operators.grid", "functions.tensor", "functions.solver", "operators.images", "operators.raster", "operators.networks", "functions.content", "functions.vector", "plans.ladder", "streaming.pages", "sources.files", "sources.snapshots")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

@@ -118,21 +118,22 @@ def quantiles(rows: DataFrame, group: str, value: str, shares: dict[str, float],
     Counts of ranges of the value say in which range a rank falls; only that range's distinct values are put in order,
     with their counts, so a value that a third of the rows have is one row.
     """
-    ends = rows.where(F.col(value).isNotNull()).groupBy(group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"))
-    range_of = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))).otherwise(0)
-    placed = rows.where(F.col(value).isNotNull()).join(ends, group).select(group, value, "n", range_of.cast("int").alias("range"))
-    counts = placed.groupBy(group, "range").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    before = F.sum("k").over(W.partitionBy(group).orderBy("range").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("k")
+    rows = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    ends = rows.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    range_of = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))).otherwise(0)
+    placed = rows.join(ends, "g").select("g", "v", "n", range_of.cast("int").alias("range"))
+    counts = placed.groupBy("g", "range").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    before = F.sum("k").over(W.partitionBy("g").orderBy("range").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("k")
     ask = F.array(*(F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("n") - 1)).alias("at")) for name, p in shares.items()))
-    asked = counts.withColumn("before", before).select(group, "range", "k", "before", F.explode(ask).alias("q"))
+    asked = counts.withColumn("before", before).select("g", "range", "k", "before", F.explode(ask).alias("q"))
     asked = asked.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("q.at"), F.ceil("q.at"))))).where("rank >= before AND rank < before + k")
-    inside = placed.join(asked.select(group, "range").distinct(), [group, "range"]).groupBy(group, "range", value).agg(F.count("*").alias("m"))
-    upto = F.sum("m").over(W.partitionBy(group, "range").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
-    found = inside.withColumn("upto", upto).join(asked, [group, "range"]).where("rank - before >= upto - m AND rank - before < upto")
-    low, high = F.min(F.struct("rank", value))[value], F.max(F.struct("rank", value))[value]
-    each = found.groupBy(group, F.col("q.name").alias("name"), F.col("q.at").alias("at")).agg(low.alias("low"), high.alias("high"))
+    inside = placed.join(asked.select("g", "range").distinct(), ["g", "range"]).groupBy("g", "range", "v").agg(F.count("*").alias("m"))
+    upto = F.sum("m").over(W.partitionBy("g", "range").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    found = inside.withColumn("upto", upto).join(asked, ["g", "range"]).where("rank - before >= upto - m AND rank - before < upto")
+    low, high = F.min(F.struct("rank", "v"))["v"], F.max(F.struct("rank", "v"))["v"]
+    each = found.groupBy("g", F.col("q.name").alias("name"), F.col("q.at").alias("at")).agg(low.alias("low"), high.alias("high"))
     each = each.withColumn("value", F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at")))
-    return each.groupBy(group).agg(*(F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in shares))
+    return each.groupBy(F.col("g").alias(group)).agg(*(F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in shares))
 
 
 @register(

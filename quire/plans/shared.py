@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_RECORDS: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/quire-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quire-{what}-{uuid.uuid4().hex}"
+    for record in _RECORDS:
+        record.append(path)
+    return path
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that are named meanwhile, in order."""
+    _RECORDS.append([])
+    try:
+        yield _RECORDS[-1]
+    finally:
+        _RECORDS.pop()
 
 
 def spill(df: DataFrame, what: str) -> DataFrame:

@@ -221,6 +221,52 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, run_to_end(again, str(tmp_path / "out")).collect())) == [(1, 2), (2, 3), (3, 1)]
 
 
+def test_quantiles_are_exact(spark):
+    from quire.operators.profile import quantiles
+
+    rng = np.random.default_rng(0)
+    values = {"a": rng.normal(size=301), "b": np.concatenate([np.full(200, 3.0), rng.normal(size=100)]), "c": np.array([7.0]), "d": np.array([1.0, 2.0])}
+    rows = [(k, float(v)) for k, x in values.items() for v in x] + [("a", None), ("e", None)]
+    got = {r.k: (r.p, r.q) for r in quantiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", {"p": 0.02, "q": 0.7}, buckets=16).collect()}
+    assert sorted(got) == ["a", "b", "c", "d"]
+    for k, x in values.items():
+        assert got[k] == pytest.approx((np.quantile(x, 0.02), np.quantile(x, 0.7)))
+
+
+def test_running_sums(spark):
+    from quire.streaming.pages import running_sums
+
+    rows = [(i, (i * 7) % 5) for i in range(200)]
+    got = running_sums(spark.createDataFrame(rows, "page long, n long"), [F.desc("n"), F.col("page")], "n", "before").collect()
+    before = 0
+    for r in sorted(got, key=lambda r: (-r.n, r.page)):
+        assert r.before == before
+        before += r.n
+    assert len(got) == 200
+
+
+def test_network_batches():
+    from quire.operators.networks import BATCH, session
+
+    s = session("double", ("CPU", "CUDA"))
+    assert s.provider == "CUDA" and s is session("double", ("CPU", "CUDA"))
+    for n in (0, 1, BATCH, BATCH + 1):
+        x = np.arange(n * 4.0).reshape(n, 2, 2)
+        assert len(s.run(x)) == n and (n == 0 or (s.run(x)[:, ::2, ::2] == x).all())
+
+
+def test_write_back_leaves_what_has_no_result(spark):
+    from quire.sources.snapshots import target, write_back
+
+    attrs = {"/DecodeParms": "x", "/Width": "3"}
+    objects = spark.createDataFrame([(1, "/DCTDecode", 10, attrs), (2, "/DCTDecode", 10, attrs)], "xref long, filter string, length long, attrs map<string,string>")
+    results = spark.createDataFrame([(2, "JP2", 4)], "xref long, mode string, new_length long")
+    got = {r.xref: (r.filter, r.length, r.attrs) for r in write_back(objects, results).collect()}
+    assert got == {1: ("/DCTDecode", 10, attrs), 2: ("/JPXDecode", 4, {"/Width": "3"})}
+    names = spark.createDataFrame([("a/b.c/d.pdf", "lossy"), ("a/b.c/d", "lossy"), ("d.pdf", "lossless")], "path string, phase string")
+    assert [r[0] for r in names.select(target(F.col("path"), F.col("phase"))).collect()] == ["a/b.c/d_opted.pdf", "a/b.c/d_opted", "d.pdf"]
+
+
 def test_progress_is_throttled():
     from quire.streaming.pages import Progress
 
