@@ -50,7 +50,8 @@ def symbols() -> dict[int, int]:
     return table | {c: 28 + c % 34 for c in range(0xC0, 0x250) if chr(c).isalpha()}
 
 
-SYMBOLS = symbols()
+SYMBOLS = np.array([symbols().get(c, 28 + c % 34) for c in range(0x250)], np.int32)
+SYMBOLS[[ord("^"), ord("$")]] = 62, 63
 
 
 def split(text: str) -> list[str]:
@@ -74,7 +75,8 @@ def chunks(word: str) -> list[str]:
 
 def coded(words: list[str]) -> np.ndarray:
     """Words of one length as rows of symbols."""
-    return np.array([[62 if c == "^" else 63 if c == "$" else SYMBOLS.get(ord(c), 28 + ord(c) % 34) for c in w] for w in words], np.int32)
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
+    return np.where(points < len(SYMBOLS), SYMBOLS[np.minimum(points, len(SYMBOLS) - 1)], 28 + (points % 34).astype(np.int32))
 
 
 @cache
@@ -98,16 +100,19 @@ def norm(weights: np.ndarray) -> float:
 class Landmarks:
     def __init__(self, words: list[str]):
         self.words = words
-        rows: dict[int, np.ndarray] = {}
+        rows: dict[int, dict[int, float]] = {}
         for j, w in enumerate(words):
             codes, weights = subsequences(coded([w]))
             for c, x in zip(codes[0].tolist(), (weights / norm(weights)).tolist(), strict=True):
-                rows.setdefault(c, np.zeros(len(words), np.float32))[j] += x
+                row = rows.setdefault(c, {})
+                row[j] = row.get(j, 0.0) + x
+        # a subsequence is in few landmarks: (landmark, value) of each, one after the other
         self.place = np.zeros(1 << 18, np.int32)
-        self.table = np.zeros((len(rows) + 1, len(words)), np.float32)
-        for i, (c, row) in enumerate(rows.items(), 1):
-            self.place[c] = i
-            self.table[i] = row
+        self.place[list(rows)] = np.arange(1, len(rows) + 1)
+        self.many = np.array([0, *map(len, rows.values())])
+        self.first = np.cumsum(self.many) - self.many
+        self.landmark = np.array([j for row in rows.values() for j in row], np.int64)
+        self.value = np.array([x for row in rows.values() for x in row.values()])
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """[words, landmarks] of the sharpened, normalised kernel; words: marked chunks of any length."""
@@ -123,18 +128,26 @@ class Landmarks:
                 codes, weights = subsequences(coded([words[i] for i in part]))
                 place = self.place[codes]
                 r, c = np.nonzero(place)
-                if not len(r):
-                    continue
-                first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-                got = np.add.reduceat(self.table[place[r, c]] * weights[c][:, None], first, axis=0)
-                out[part[r[first]]] = (got / norm(weights)) ** SHARPEN
+                p = place[r, c]
+                n = self.many[p]
+                at = np.arange(n.sum()) + np.repeat(self.first[p] - (np.cumsum(n) - n), n)
+                got = np.bincount(np.repeat(r, n) * len(self.words) + self.landmark[at], self.value[at] * np.repeat(weights[c], n), len(part) * len(self.words))
+                out[part] = (got.reshape(len(part), -1) / norm(weights)) ** SHARPEN
         return out
 
     def of_words(self, words: list[str]) -> np.ndarray:
         """Cleaned words; of a long word's chunks, the largest value for each landmark."""
         cut = [chunks(w) for w in words]
         k = self.kernel([c for cs in cut for c in cs])
-        return np.maximum.reduceat(k, np.cumsum([0, *map(len, cut[:-1])]), axis=0) if words else k
+        if len(k) == len(words):
+            return k
+        many = np.array([len(cs) for cs in cut])
+        first = np.cumsum(many) - many
+        out = k[first]
+        long_ = np.flatnonzero(many > 1)
+        rows = np.concatenate([np.arange(first[i], first[i] + many[i]) for i in long_])
+        out[long_] = np.maximum.reduceat(k[rows], np.cumsum(many[long_]) - many[long_], axis=0)
+        return out
 
 
 def choose(counts: list[Counter], labels: np.ndarray) -> list[str]:
@@ -243,10 +256,10 @@ class Scorer:
 
     def scores(self, texts: list[str]) -> list[float]:
         cut = [split(t) for t in texts]
-        new = {w for ws in cut for w in ws if w not in self.known}
+        every = set().union(*cut)
+        new = {w for w in every if w not in self.known}
         if len(self.known) + len(new) > CACHE:  # the older half goes, but for what is still in use
-            self.old, self.known = self.known, {}
-            new = {w for ws in cut for w in ws}
+            self.old, self.known, new = self.known, {}, every
         kept = {w: self.old[w] for w in new if w in self.old}
         self.known.update(kept)
         new = list(new - kept.keys())
