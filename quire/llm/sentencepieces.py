@@ -101,22 +101,39 @@ class Encoder:
                 back[:, end] = end - sizes + pick
                 place = found[rows, pick]
                 piece[:, end] = np.where(place >= 0, self.ids[place], -1)
-        out = []
-        back_, piece_ = back.tolist(), piece.tolist()
-        for r in range(n):
-            ids, end = [], length
-            b, p = back_[r], piece_[r]
-            while end:
-                if p[end] >= 0:
-                    ids.append(p[end])
-                else:
-                    raw = chr(chars[r, end - 1]).encode("utf-8", "surrogatepass")
-                    of_bytes = self.v.byte_ids[list(raw)]
-                    ids.extend(of_bytes[::-1].tolist() if (of_bytes >= 0).all() else [self.v.unknown])
-                end = b[end]
-            out.append(np.array(ids[::-1], "<i4").tobytes())
+        return self.followed(chars, back, piece)
+
+    def followed(self, chars: np.ndarray, back: np.ndarray, piece: np.ndarray) -> list[bytes]:
+        """The pieces along the backpointers, from the ends of all words at once."""
+        n, length = chars.shape
+        rows, at = np.arange(n), np.full(n, length)
+        steps = []
+        while at.any():
+            steps.append(np.where(at > 0, piece[rows, at], -2))
+            at = back[rows, at]  # the start points to itself
+        ids = np.stack(steps[::-1], axis=1)
+        ends = np.cumsum((ids != -2).sum(1)) * 4
+        raw = ids[ids != -2].astype("<i4").tobytes()
+        out = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        for r in np.flatnonzero((ids == -1).any(1)).tolist():
+            out[r] = self.with_bytes(chars[r], ids[r][ids[r] != -2])
         return out
 
+    def with_bytes(self, chars: np.ndarray, ids: np.ndarray) -> bytes:
+        """ids with the pieces of a character's UTF-8 bytes, or the unknown piece, for each -1."""
+        out: list[int] = []
+        at = 0
+        for i in ids.tolist():
+            if i >= 0:
+                out.append(i)
+                at += len(self.v.pieces[i])
+                continue
+            raw = chr(chars[at]).encode("utf-8", "surrogatepass")
+            of_bytes = self.v.byte_ids[list(raw)]
+            out.extend(of_bytes.tolist() if (of_bytes >= 0).all() else [self.v.unknown])
+            at += 1
+        return np.array(out, "<i4").tobytes()
+
     def words(self, new: list[str]) -> dict[str, bytes]:
         by_length: dict[int, list[str]] = {}
         for w in new:
@@ -234,10 +251,10 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [words(t) for t in texts]
-        new = {w for ws in cut for w in ws if w not in self.known}
+        every = set().union(*cut)
+        new = {w for w in every if w not in self.known}
         if len(self.known) + len(new) > CACHE:  # the older half goes, but for what is still in use
-            self.old, self.known = self.known, {}
-            new = {w for ws in cut for w in ws}
+            self.old, self.known, new = self.known, {}, every
         got = {w: self.old[w] for w in new if w in self.old}
         fresh = list(new - got.keys())
         got.update(self.encoder.words(fresh) if fresh else {})
