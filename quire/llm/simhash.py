@@ -14,9 +14,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.llm.common import ship, slices, spill
+from quire.llm.common import least, ship, slices, spill
 from quire.llm.components import components
 
 BITS = 64
@@ -52,19 +52,28 @@ def fingerprint(data: bytes, width: int = 4) -> int:
     return int(bits.view(np.uint64)[0])
 
 
+def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, text binary) of every row; key is a hash of the text, by which rows that share an id are told apart."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("key"), text.cast("binary").alias("text"))
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long; null and wordless texts have 0."""
+    """(doc_id, key, fp): fp is the fingerprint's 64 bits as a signed long; null and wordless texts have 0."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in slices(batches, "text"):
             fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", width) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"]
+                [batch.column("doc_id"), batch.column("key"), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "key", "fp"]
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def block_masks(within: int, blocks: int = 3) -> list[int]:
@@ -76,7 +85,7 @@ def grow(sample: np.ndarray, mask: int, leaves: int, share: float, seed: int) ->
     """A vantage-point tree over the block given by mask, as nodes (vantage, inner radius, inner child, outer child); leaves are (-1, salts, leaf number, 0).
 
     share: fingerprints that one sampled fingerprint stands for. A leaf that can't be split and holds more than
-    twice LEAF gets that many salts, over which its residents are dealt.
+    twice LEAF gets that many salts, over which its residents and its probes are dealt.
     """
     rng = np.random.default_rng(seed)
     nodes: list[tuple] = []
@@ -178,8 +187,8 @@ def links(fps: DataFrame, within: int = 4, sample: int = SAMPLE, leaf: int = LEA
     spark = fps.sparkSession
     ship(spark)
     total = fps.count()
-    taken = [r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()]
-    picked = np.array(taken, np.int64).view(np.uint64)
+    taken = [r.fp for r in fps.where(least(F.xxhash64("fp"), sample // 4, total)).collect()]  # about sample of them, whatever the number of tasks
+    picked = np.sort(np.array(taken, np.int64).view(np.uint64))
     masks = block_masks(within)
     radius = within // len(masks)
     leaves = int(min(MOST_LEAVES, max(1, len(picked) // 8), 2 ** max(0, int(np.ceil(np.log2(max(total, 1) / leaf))))))
@@ -194,17 +203,16 @@ def links(fps: DataFrame, within: int = 4, sample: int = SAMPLE, leaf: int = LEA
                 salt_of = xx_salt(part)
                 for m, nodes, base in zip(masks, trees, offsets, strict=False):
                     for rows, number, salts, home in route(part, nodes, m, radius):
-                        own = salt_of[rows] % np.uint64(salts)
+                        if salts == 1:
+                            yield leaf_rows(part[rows], home, base + number, 0)
+                            continue
+                        # a crowded leaf is a square of groups: residents are dealt over its rows, probes over its columns
+                        own = (salt_of[rows] % np.uint64(salts)).astype(np.int64)
                         for s in range(salts):
-                            yield pa.RecordBatch.from_arrays(
-                                [
-                                    pa.array(np.full(len(rows), base + number, np.int32)),
-                                    pa.array(np.full(len(rows), s, np.int32)),
-                                    pa.array(part[rows].view(np.int64)),
-                                    pa.array(home & (own == s)),
-                                ],
-                                names=["leaf", "salt", "fp", "home"],
-                            )
+                            probes, residents = part[rows[own == s]], part[rows[home & (own == s)]]
+                            for t in range(salts):
+                                yield leaf_rows(probes, np.zeros(len(probes), bool), base + number, t * salts + s)
+                                yield leaf_rows(residents, np.ones(len(residents), bool), base + number, s * salts + t)
 
     def check(group):
         number = group.column("leaf")[0].as_py()
@@ -218,16 +226,22 @@ def links(fps: DataFrame, within: int = 4, sample: int = SAMPLE, leaf: int = LEA
     return probes.groupBy("leaf", "salt").applyInArrow(check, "a long, b long")
 
 
+def leaf_rows(fps: np.ndarray, home: np.ndarray, leaf: int, salt: int) -> pa.RecordBatch:
+    numbers = [pa.array(np.full(len(fps), x, np.int32)) for x in (leaf, salt)]
+    return pa.RecordBatch.from_arrays([*numbers, pa.array(fps.view(np.int64)), pa.array(home)], names=["leaf", "salt", "fp", "home"])
+
+
 def xx_salt(x: np.ndarray) -> np.ndarray:
     return (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
 
 
 def classes(docs: DataFrame, within: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs, repeated rows included.
+    """(doc_id, key, fp, label, component_id) for every row of docs, repeated rows included.
 
     component_id is the smallest doc_id that is reachable over links, the row's own included; rows with a null
     doc_id take part in links, and have the component's smallest id, null only if no member has one. Null and
-    wordless texts share fingerprint 0. An empty table gives an empty result; other columns are not looked at.
+    wordless texts share fingerprint 0. label is one fingerprint of the component; key tells texts apart (rows_of).
+    An empty table gives an empty result; other columns are not looked at.
     """
     fps = spill(with_fingerprints(docs, id_col, text_col, width), "fps")
     each = spill(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct-fps")
@@ -235,13 +249,14 @@ def classes(docs: DataFrame, within: int = 4, width: int = 4, id_col: str = "doc
 
 
 def named_classes(fps: DataFrame, each: DataFrame, linked: DataFrame) -> DataFrame:
-    """fps(doc_id, fp) with component_id; each(fp, rep, n) has the smallest doc_id and the rows of each fp, linked(a, b) its links."""
+    """fps(doc_id, key, fp) with label and component_id; each(fp, rep, n) has the smallest doc_id and the rows of each fp, linked(a, b) its links."""
     found = components(linked)
     known = each.join(found.withColumnRenamed("v", "fp"), "fp", "left").where("n > 1 OR label IS NOT NULL")
     known = known.select("fp", "rep", F.coalesce("label", "fp").alias("label"))
-    least = known.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_fp = known.join(least, "label").select("fp", "component_id")
-    return fps.join(of_fp, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    smallest = known.groupBy("label").agg(F.min("rep").alias("component_id"))
+    of_fp = known.join(smallest, "label").select("fp", "label", "component_id")
+    named = fps.join(of_fp, "fp", "left")
+    return named.select("doc_id", "key", "fp", F.coalesce("label", "fp").alias("label"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def simhash_near_dedup(docs: DataFrame, within: int = 4, width: int = 4) -> DataFrame:
@@ -251,18 +266,23 @@ def simhash_near_dedup(docs: DataFrame, within: int = 4, width: int = 4) -> Data
 
 
 def keep_one(docs: DataFrame, within: int = 4, width: int = 4, found: DataFrame | None = None) -> DataFrame:
-    """docs without near-copies: of each component the row with the smallest doc_id stays; of rows that share it, one.
-
-    The components are those of found(doc_id, component_id), by default those of classes().
+    """docs without near-copies: of each component one row stays, that with the smallest doc_id (nulls last), then the smallest hash of its text.
 
-    Rows with a null doc_id can't be named by a decision and stay as they are. The text is shuffled only for
-    doc_ids that occur more than once, and where the table of copies is too large to be broadcast.
+    The components are those of found(doc_id, key, label), by default those of classes(). A row is named by its doc_id
+    and text together, so of rows that share an id each is judged by its own component. Of rows that share both
+    one stays, by a hash of all columns. The text is shuffled only for rows that occur more than once, and where
+    the table of copies is too large to be broadcast.
     """
     found = classes(docs, within, width) if found is None else found
-    go = spill(found.where("doc_id != component_id").select("doc_id").distinct(), "copies")
-    kept = docs.join(go, "doc_id", "left_anti").select(*docs.columns)
-    again = spill(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "again")
+    found = spill(found.select("label", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key").alias("row")), "rows-of-components")
+    best = found.groupBy("label").agg(F.min("row").alias("best"), F.max("row").alias("worst")).where("best != worst").select("label", "best")
+    named = lambda df: df.select(F.col("row.doc_id").alias("__quire_id"), F.col("row.key").alias("__quire_key"))
+    go = spill(named(found.join(best, "label").where("row != best").select("row").distinct()), "copies")
+    again = spill(named(found.groupBy("row").count().where("count > 1")), "again")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__quire_id")) & (text_key(F.col("text").cast("string")) == F.col("__quire_key"))
+    kept = docs.join(go, same, "left_anti")
     if again.limit(1).count():
-        single = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-        kept = kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(single)
+        twice = kept.join(again, same).withColumn("__quire_row", F.struct(*docs.columns))
+        each = twice.groupBy("__quire_id", "__quire_key").agg(F.min_by("__quire_row", F.xxhash64("__quire_row")).alias("x"))
+        kept = kept.join(again, same, "left_anti").unionByName(each.select("x.*"))
     return kept

@@ -1,11 +1,15 @@
 """Each operator against brute force on small tables: nulls, empty and long texts, repeated rows, ties, empty tables, clashing names."""
 
 import base64
+import gzip
 import hashlib
+import io
 import itertools
 import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -102,7 +106,55 @@ def test_prefixes_of_similar_sets_meet():
         y = x ^ (rng.random(40) < 0.1)
         a, b = pool[x], pool[y]
         if 5 * (x & y).sum() >= 4 * (x | y).sum():
-            assert len(np.intersect1d(near_copies.first(a, last, np.arange(20)), near_copies.first(b, last, np.arange(20))))
+            (p, _), (q, _) = (near_copies.first(s, last, np.arange(20)) for s in (a, b))
+            common = [t for t in p.tolist() if t in q.tolist()]
+            at, bt = p.tolist().index(common[0]), q.tolist().index(common[0])
+            assert 9 * min(len(a) - at, len(b) - bt) >= 4 * (len(a) + len(b))
+
+
+def test_shingles_and_odd_bits():
+    rng = np.random.default_rng(5)
+    seen = {}
+    for n in (0, 1, 4, 5, 6, 300, 2000):
+        words = [str(x) for x in rng.integers(0, 50, n)]
+        for text in (" ".join(words), "  \t" + "\n ".join(words) + " "):
+            got = near_copies.shingles(text.upper().encode())
+            want = {" ".join(words[i : i + 5]) for i in range(max(1, n - 4))} if n else set()
+            assert len(got) == len(want) and (np.diff(got.view(np.uint64)) > 0).all()
+        seen |= dict.fromkeys(got.tolist())
+    assert set(near_copies.shingles(b"a b c d e f").tolist()) == set(near_copies.shingles(b"a b c d e").tolist()) | set(near_copies.shingles(b"b c d e f").tolist())
+    old, near_copies.PART = near_copies.PART, 800  # parts of 100 words
+    cut = near_copies.shingles(" ".join(words).encode())
+    near_copies.PART = old
+    assert (cut == got).all()
+    for _ in range(200):
+        x, y = (np.unique(rng.integers(0, 3000, rng.integers(1, 900), np.uint64)) for _ in range(2))
+        x, y = near_copies.mixed(x), near_copies.mixed(y)
+        assert near_copies.differ_at_least(near_copies.odd_bits(x), near_copies.odd_bits(y)) <= len(np.setxor1d(x, y))
+    assert near_copies.differ_at_least(near_copies.odd_bits(x), near_copies.odd_bits(x)) == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    texts = [PROSE, "a quite different text of seven words here", PROSE, "an unrelated text that has nothing like it", "an unrelated text that has nothing like it", PROSE, PROSE]
+    table = docs(spark, texts, ids=[2, 7, 7, 5, 5, None, None])
+    for kept in (simhash.keep_one(table), corpus_pipeline.near_dedup(spark, table, "")):
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted({(2, PROSE), (7, texts[1]), (5, texts[3])})
+        assert kept.columns == table.columns
+    nulls = docs(spark, [PROSE, PROSE, None], ids=[None, None, None])
+    assert simhash.keep_one(nulls).count() == 2
+
+
+def test_a_crowded_leaf_is_dealt_over_groups(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = np.unique(np.uint64(77) ^ (np.uint64(1) << rng.integers(0, 64, 600, np.uint64)) ^ (np.uint64(1) << rng.integers(40, 64, 600, np.uint64)))
+    monkeypatch.setattr(simhash, "LEAF", 32)
+    frame = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    got = simhash.links(frame, leaf=200).collect()
+    forest, want = simhash.Forest(len(x)), simhash.Forest(len(x))
+    ends = [np.array([r[i] for r in got], np.int64).view(np.uint64) for i in (0, 1)]
+    forest.union(*(np.searchsorted(x, e) for e in ends))
+    want.union(*np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= 4, 1)))
+    assert (forest.up == want.up).all()
 
 
 def test_vantage_trees_lose_no_link():
@@ -148,6 +200,38 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_by_brute_force(spark):
+    rng = np.random.default_rng(13)
+    rows = [(None if rng.random() < 0.05 else int(rng.integers(0, 300)), f"u{i}", None if rng.random() < 0.1 else "p" * int(rng.integers(0, 12))) for i in range(400)]
+    rows = list({r[0] if r[0] is not None else f"n{i}": r for i, r in enumerate(rows)}.values())
+    first = {}
+    for i, _, html in rows:
+        if i is not None:
+            first[html or ""] = min(i, first.get(html or "", i))
+    want = sorted((repr(i), len(h or ""), "response" if i is None or first[h or ""] == i else "revisit", None if i is None or first[h or ""] == i else first[h or ""]) for i, _, h in rows)
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((repr(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in got) == want
+
+
+def test_warc_skips_without_inflating():
+    rng = np.random.default_rng(14)
+    payload = rng.integers(0, 256, 3 << 20, np.uint8).tobytes()
+    row = lambda i: {"record_type": ("response", "request")[i % 2], "payload": payload, "page_id": i, "url": "é", "payload_bytes": len(payload), "payload_digest": "X", "refers_to": None}
+    data = b"".join(warc.member(warc.record(row(i)), 1) for i in range(6))
+    assert gzip.decompress(data) == b"".join(warc.record(row(i)) for i in range(6))
+    for body, own in ((data, True), (b"".join(gzip.compress(warc.record(row(i)), 1) for i in range(6)), False)):
+        stream = warc.Stream(io.BytesIO(body), True)
+        found = list(warc.records(stream, True, lambda r: r["page_id"] == 3))
+        assert [(r["page_id"], r["payload"] == payload) for r in found] == [(3, True)]
+        assert (stream.inflated < len(payload) + 10 * warc.FIRST) == own
+        stream = warc.Stream(io.BytesIO(body), True)
+        assert [r["page_id"] for r in warc.records(stream, False, lambda r: r["record_type"] == "request")] == [1, 3, 5]
+        assert (stream.inflated <= 6 * warc.FIRST) == own
+    foreign = b"WARC/1.0\r\nwarc-type:warcinfo\r\nX-Odd: \xff\xfe\r\n\r\n\r\n\r\nWARC/1.0\r\nWARC-TYPE: response\r\ncontent-length:  3\r\n\r\nabc\r\n\r\n"
+    for body, gz in ((foreign, False), (gzip.compress(foreign), True)):
+        assert [(r["record_type"], r["payload"]) for r in warc.records(warc.Stream(io.BytesIO(body), gz), True, lambda r: True)] == [("warcinfo", b""), ("response", b"abc")]
+
+
 def test_language(spark):
     words = {"aa": "shan tho wer ling", "bb": "zük öst grön"}
     rng = np.random.default_rng(1)
@@ -161,6 +245,50 @@ def test_language(spark):
     assert none.count() == 0
 
 
+def test_language_of_repeated_rows_long_texts_and_many_languages(spark):
+    for same in (7, 9, 10, 12, 13):
+        if zlib.crc32(str(same).encode()) % 3 == 1:
+            continue
+        rows = spark.range(20_000).selectExpr(f"CAST({same} AS LONG) AS doc_id", "concat('shan tho wer ', id % 3) AS text", "'aa' AS lang", "'z' AS h")
+        other = spark.range(60).selectExpr("id + 100 AS doc_id", "repeat('zük öst grön ', 4) AS text", "'bb' AS lang", "'z' AS h")
+        sample = language_id.sampled(rows.union(other), 50)
+        assert {lang for lang, _ in sample} == {"aa", "bb"} and len([1 for lang, _ in sample if lang == "aa"]) == 3
+        out = language_id.language_id(rows.union(other), 50)
+        assert out.count() == 20_060 and {r.lang_pred for r in out.where("doc_id >= 100").select("lang_pred").distinct().collect()} == {"bb"}
+    long_ = spark.range(60).selectExpr("id AS doc_id", "repeat(IF(id % 2 = 0, 'shan tho wer ling ', 'zük öst grön '), IF(id % 2 = 0, 3000, 5)) AS text", "IF(id % 2 = 0, 'yy', 'zz') AS lang")
+    assert {(r.doc_id % 2, r.lang_pred) for r in language_id.language_id(long_).collect()} == {(0, "yy"), (1, "zz")}
+    many = spark.range(600).selectExpr("id AS doc_id", "concat('word', id % 300, ' text') AS text", "concat('l', id % 300) AS lang")
+    assert len({lang for lang, _ in language_id.sampled(many, 400)}) > 250  # those whose rows aren't all held out
+
+
+def test_language_by_brute_force():
+    rng = np.random.default_rng(12)
+    net = language_id.Network(["a", "b"], seed=3)
+    texts = ["", "12", "ab", "x" * 255, "y" * 256, "öz" * 300, " ".join(rng.choice(["shan", "grön"], 400))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "held_out": [False] * len(texts)})
+
+    class Value:
+        value = language_id.Folded(net.classes, net.p)
+
+    got = [r for b in language_id.predict_batches([batch], Value) for r in b.to_pylist()]
+    for text, r in zip(texts, got, strict=True):
+        if not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        data, total = text.encode(), np.zeros(2)
+        for at in range(0, len(data), 256):
+            w = np.frombuffer(data[at : at + 256].ljust(256, b"\0"), np.uint8)
+            e = net.p["embed"][w]
+            hidden = []
+            for k in language_id.WIDTHS:
+                for f in range(language_id.FILTERS):
+                    hidden.append(max(0.0, max(sum(e[i + j] @ net.p[f"w{k}"][j][:, f] for j in range(k)) + net.p[f"b{k}"][f] for i in range(256 - k + 1))))
+            z = np.array(hidden) @ net.p["out"] + net.p["bias"]
+            total += np.exp(z - z.max()) / np.exp(z - z.max()).sum() * np.count_nonzero(w)
+        mean = total / len(data)
+        assert r["lang_pred"] == "ab"[mean.argmax()] and r["score"] == pytest.approx(mean.max(), abs=1e-3)
+
+
 def test_folded_network_is_the_network():
     net = language_id.Network(["a", "b", "c"])
     x = np.random.default_rng(2).integers(0, 256, (5, language_id.WINDOW)).astype(np.uint8)
@@ -198,6 +326,12 @@ def test_mixing(spark):
     assert mixing.mix(table.limit(0)).count() == 0
 
 
+def test_a_leaf_of_rows_without_an_id_stands_or_falls_together(spark):
+    rows = [(None, "a b c", "en", "src0") for _ in range(40)] + [(i, "a b c", "en", "src1") for i in range(40)]
+    taken = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), fraction=0.5, max_epochs=1).collect()
+    assert sum(r.doc_id is None for r in taken) in (0, 40) and 0 < len(taken) <= 40
+
+
 def test_budgets_fill_siblings_first(spark):
     leaves = [("d0", "en", "a", 10), ("d0", "en", "b", 1000), ("d0", "de", "a", 100), ("d1", "en", "c", 5), ("d2", "en", "a", 500)]
     got = {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(spark.createDataFrame(leaves, "domain string, lang string, source string, supply long"), 0.5, 1, mixing.WEIGHTS).collect()}
@@ -259,6 +393,96 @@ def test_cover_tree(spark):
     assert cover_tree.exact_topk(table_of(spark, [])).count() == 0
 
 
+def test_cover_tree_keeps_its_rules():
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(0, 1, (900, 3)), rng.normal(0, 0.01, (400, 3)), rng.normal(0, 1, (1, 3)) * 1e4])
+    x = np.unique(np.floor(256 * x), axis=0)
+    tree = cover_tree.Tree(x)
+    seen, split = np.zeros(len(x), int), 0
+    for at in range(len(tree.centre)):
+        points = tree.perm[tree.low[at] : tree.high[at]]
+        reach = np.linalg.norm(x[points] - x[tree.centre[at]], axis=1)
+        assert reach.max() <= tree.radius[at] * (1 + 1e-12) and (tree.radius[at] == 0 or tree.radius[at] <= cover_tree.BASE ** tree.level[at] * (1 + 1e-12))
+        assert tree.centre[at] in points
+        if not tree.children[at]:
+            seen[points] += 1
+            continue
+        split += 1
+        children = np.arange(tree.child[at], tree.child[at] + tree.children[at])
+        level = set(tree.level[children].tolist())
+        assert len(level) == 1 and (apart := level.pop()) < tree.level[at] and tree.centre[at] in tree.centre[children]
+        c = x[tree.centre[children]]
+        gaps = np.linalg.norm(c[:, None] - c[None], axis=2)[np.triu_indices(len(c), 1)]
+        assert (gaps > cover_tree.BASE**apart).all() and (tree.radius[children] <= cover_tree.BASE**apart * (1 + 1e-12)).all()
+        assert sorted(tree.perm[tree.low[at] : tree.high[at]]) == sorted(np.concatenate([tree.perm[tree.low[k] : tree.high[k]] for k in children]))
+    assert (seen == 1).all() and split > 10
+
+
+def test_large_components_are_exact(spark):
+    rng = np.random.default_rng(9)
+    for size in (1e6, 1e9, 1e200):
+        x = rng.normal(0, size, (130, 16)) if size < 1e100 else rng.normal(0, 1, (130, 16)) * 10.0 ** rng.integers(-3, 200, (130, 1))
+        x[5] = x[100]
+        x[6, 3] = x[100, 3]
+        table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in cover_tree.exact_topk(table).collect()}
+        v = [[int(c) for c in np.floor(256 * row)] for row in x]
+        for q in range(0, 130, 50):
+            score = [max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(v[q], w, strict=True)))) for w in v]
+            want = sorted((-s, i) for i, s in enumerate(score) if i != q)[:5]
+            assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in want]
+
+
+def recall(x, queries):
+    ids = np.arange(len(x))
+    q, found, score = graph_search.answer(graph_search.build(ids, x), queries, x[queries])
+    s = x[queries] @ x.T
+    hits = 0
+    for row, i in zip(s, queries.tolist(), strict=True):
+        row[i] = -np.inf
+        mine = [j for a, j in zip(q, found, strict=True) if a == i]
+        assert len(set(mine)) == 20 and mine == [j for _, j in sorted((-float(np.einsum("i,i->", x[i], x[j])), j) for j in mine)]
+        hits += len(set(mine) & set(np.argsort(-row, kind="stable")[:20].tolist()))
+    return hits / 20 / len(queries)
+
+
+@pytest.mark.parametrize("kind", ["gauss", "lognormal", "outlier", "clusters", "unit", "few lengths"])
+def test_graph_search_recall_on_any_lengths(kind):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(2500, 32))
+    if kind == "lognormal":
+        x *= np.exp(rng.normal(0, 0.5, (len(x), 1)))
+    if kind == "outlier":
+        x[7] *= 10_000
+    if kind == "clusters":
+        x = rng.normal(size=(20, 32))[rng.integers(0, 20, len(x))] + 0.3 * x
+    if kind in ("unit", "few lengths"):
+        x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "few lengths":
+        x *= rng.choice([1e-3, 1.0, 1.1, 50.0], (len(x), 1))
+    assert recall(x, np.arange(0, 2500, 40)) >= 0.9
+
+
+def test_graph_search_over_several_shards(spark, monkeypatch):
+    from quire.llm import vectors
+
+    monkeypatch.setattr(vectors, "SHARD", 300)
+    monkeypatch.setattr(vectors, "BLOCK", 10)
+    monkeypatch.setattr(vectors, "BLOCKS", 2)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1200, 16)) * np.exp(rng.normal(0, 0.4, (1200, 1)))
+    got = {}
+    for r in graph_search.nearest(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    hits = 0
+    for q in range(0, 1200, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(got[q].values()) & set(np.argsort(-s)[:20].tolist()))
+        assert sorted(got[q]) == list(range(1, 21))
+    assert hits >= 0.9 * 20 * 60
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(4)
     plain = "some calm words about rivers and stones under trees with birds".split()
@@ -283,6 +507,63 @@ def test_toxicity(spark):
     assert toxicity.toxicity(table, marks.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_kernel_by_brute_force():
+    def slow(a, b):
+        total = 0.0
+        for x in itertools.combinations(range(len(a)), 3):
+            for y in itertools.combinations(range(len(b)), 3):
+                if x[2] - x[0] < toxicity.SPAN and y[2] - y[0] < toxicity.SPAN and [a[i] for i in x] == [b[i] for i in y]:
+                    total += toxicity.DECAY ** (x[2] - x[0] + 1 + y[2] - y[0] + 1)
+        return total
+
+    def size(n):
+        return sum(toxicity.DECAY ** (2 * (x[2] - x[0] + 1)) for x in itertools.combinations(range(n), 3) if x[2] - x[0] < toxicity.SPAN) ** 0.5 or 1.0
+
+    marks, words = ["^fool$", "^dumbf", "^xyz$"], ["^fool$", "^foxol$", "^dumb$", "^dumbfool$", "^ab$", "^zzzz$"]
+    got = toxicity.Landmarks(marks).kernel(words)
+    for i, w in enumerate(words):
+        for j, m in enumerate(marks):
+            assert got[i, j] == pytest.approx((slow(w, m) / size(len(w)) / size(len(m))) ** toxicity.SHARPEN, rel=1e-4, abs=1e-7)
+
+
+def test_svm_and_calibration_are_optimal():
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(120, 4))
+    y = (x[:, 0] + 0.5 * rng.normal(size=120) > 0).astype(int)
+    c = np.where(y == 1, 0.7, 0.4)
+    loss = lambda w: 0.5 * w @ w + (c * np.maximum(0, 1 - np.where(y == 1, 1, -1) * (x @ w[:-1] + w[-1]))).sum()
+    w = toxicity.train_svm(x, y, c, rounds=2000)
+    assert all(loss(w) <= loss(w + d) + 1e-3 for d in rng.normal(0, 0.05, (300, 5)))
+    f = x @ w[:-1] + w[-1]
+    a, b = toxicity.platt(f, y)
+    n1, n0 = y.sum(), (1 - y).sum()
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    cross = lambda a, b: (np.logaddexp(0, a * f + b) - target * (a * f + b)).sum()
+    assert all(cross(a, b) <= cross(a + d, b + e) + 1e-6 for d, e in rng.normal(0, 0.05, (300, 2)))
+
+
+def test_scores_do_not_depend_on_the_cache(monkeypatch):
+    plain = "some calm words about rivers and stones under trees".split()
+    rng = np.random.default_rng(18)
+    texts = [" ".join([*rng.choice(plain, 30), *(["dumbfool"] * 3 if i % 3 == 0 else [])]) for i in range(90)]
+    model = toxicity.fit(texts, [int(i % 3 == 0) for i in range(90)])
+    long_ = "dumbfool" * 20_000
+    some = [*texts, long_, long_ + " " + texts[1], ""]
+    want = toxicity.Scorer(model).scores(some)
+    monkeypatch.setattr(toxicity, "CACHE", 5)
+    small = toxicity.Scorer(model)
+    assert [s for t in some for s in small.scores([t])] == pytest.approx(want) and all(len(w) <= toxicity.LONG for w in small.known)
+
+
+def test_toxicity_learns_once_from_repeated_rows(spark):
+    rows = [(i, f"calm words number {i} about rivers", "x") for i in range(60)] + [(200 + i, f"dumbfool words number {i} about rivers", "x") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i >= 200)) for i, _, _ in rows], "doc_id long, toxic int")
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
+    twice = table.unionByName(table).unionByName(table.where("doc_id = 3"))
+    one, two = ({r.doc_id: r.score for r in toxicity.toxicity(t, labels).collect()} for t in (table, twice))
+    assert one == pytest.approx(two) and toxicity.toxicity(twice, labels).count() == 241
+
+
 def test_least_keeps_the_sample(spark):
     frame = spark.range(20_000)
     taken = lambda f: [r.id for r in f.orderBy(F.xxhash64("id"), "id").limit(50).collect()]
@@ -324,6 +605,14 @@ def test_viterbi_is_best():
         assert sum(score[i] for i in ids.tolist()) == pytest.approx(brute_best(v, SPACE + word))
 
 
+def test_null_ids_and_repeated_rows_of_token_operators(spark):
+    table = docs(spark, [PROSE, PROSE, "x y", None], ids=[None, 3, 3, 3])
+    n = len(vocabulary().processor.encode(PROSE))
+    want = sorted([(repr(None), n), (repr(3), n), (repr(3), len(vocabulary().processor.encode("x y"))), (repr(3), 0)])
+    assert sorted((repr(r.doc_id), r.n_tokens) for r in token_counts.token_counts(table).collect()) == want
+    assert sorted((repr(r.doc_id), r.n_pieces) for r in sentencepieces.encode_digests(table).collect()) == want
+
+
 def test_sentencepieces(spark):
     table = docs(spark, EDGE)
     out = {r.doc_id: r for r in sentencepieces.encode_digests(table).collect()}
@@ -340,6 +629,28 @@ def test_sentencepieces_are_the_librarys(spark):
     assert got == {i: lib.encode(t or "") for i, t in enumerate(texts)}
 
 
+def test_merges_leave_the_librarys_neighbours_apart():
+    v, rng = vocabulary(), np.random.default_rng(15)
+    encoder = sentencepieces.codec().encoder
+    bare = [i for i in v.ids.tolist() if not v.pieces[i].startswith(SPACE)]
+    left = rng.choice([i for i in v.ids.tolist() if v.pieces[i].startswith(SPACE) and len(v.pieces[i].strip(SPACE))], 4000)
+    right = rng.choice(bare, 4000)
+    want = [v.processor.encode(v.pieces[a][1:] + v.pieces[b]) == [a, b] for a, b in zip(left.tolist(), right.tolist(), strict=True) if v.pieces[a].count(SPACE) == 1]
+    one = np.array([v.pieces[a].count(SPACE) == 1 for a in left.tolist()])
+    assert encoder.decide(left[one], right[one]).tolist() == want and 0 < sum(want) < len(want)
+    assert encoder.apart(left, right).tolist() == encoder.decide(left, right).tolist() == encoder.apart(left, right).tolist()
+
+
+def test_words_of_any_pieces_are_the_librarys():
+    v, rng = vocabulary(), np.random.default_rng(16)
+    pieces = [v.pieces[i].replace(SPACE, " ") for i in v.ids.tolist()]
+    texts = ["".join(rng.choice(pieces, rng.integers(1, 4))) for _ in range(8000)]
+    texts += ["".join(rng.choice(list("abcdeéß中文😀\u2028  ▁"), rng.integers(1, 12))) for _ in range(4000)]
+    texts += ["a" * k for k in range(1, 60)] + ["ab" * k for k in range(1, 40)] + [" " * k for k in range(1, 40)]
+    got = sentencepieces.codec().encode(texts)
+    assert [np.frombuffer(x, "<i4").tolist() for x in got] == v.processor.encode(texts, num_threads=1)
+
+
 def test_model_type():
     assert vocabulary().is_bpe
     assert [model_type(x) for x in (b"", b"\x12\x02\x18\x01", b"\x12\x02\x18\x02", b"\x0a\x02\x18\x02")] == [1, 1, 2, 1]
@@ -377,6 +688,27 @@ def test_secrets(spark):
     assert secrets.secret_scan(docs(spark, [])).count() == 0
 
 
+def test_secrets_of_many_matches(spark, monkeypatch):
+    key = "AKIA" + "Q" * 16
+    text = "".join(f"é😀 token={'abc' * 3}{i} {key}{'0af' * 9} client_id=bob{i} http://h.example/x " for i in range(1500))
+    table = docs(spark, [text, "x " * 3000 + f"client_id = bob1 {'Zx9' * 11}", text, "clean", None], ids=[1, 2, None, 4, 5])
+    got = {r.doc_id: r for r in secrets.secret_scan(table).collect()}
+    base = brute_base(text)
+    assert got[1].n_assign == 1500 and got[1].n_access == 1500 and got[1].n_hex == sum(k == 2 for _, k, _ in base)
+    assert got[1].base_sha256 == got[None].base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+    for most in (secrets.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(secrets, "BROADCAST_ROWS", most)
+        clean = {r.doc_id: r for r in secrets.redact(table).collect()}
+        for i, t in ((1, text), (None, text), (2, table.where("doc_id = 2").first().text)):
+            out, at = "", 0
+            for x in sorted((tuple(map(int, y.split(":")[1:])) for y in got[i].spans.split(","))):
+                if x[0] >= at:
+                    out += t[at : x[0]] + "[secret]"
+                at = max(at, x[1])
+            assert clean[i].text == out + t[at:] and clean[i].n_chars == len(clean[i].text)
+        assert clean[4].text == "clean" and clean[5].text is None
+
+
 def test_components(spark):
     from quire.llm.components import components
 
