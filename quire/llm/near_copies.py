@@ -1,6 +1,8 @@
-"""Near-copies by the Jaccard similarity of the sets of five-word shingles, exactly: every pair of at least 4/5 is linked.
+"""Near-copies by SimHash through vantage-point trees, verified by the Jaccard similarity of the sets of five-word shingles: every pair of at least 4/5 is linked.
 
-No number of fingerprint bits is sure to hold all such pairs, so the candidates come from a prefix filter. All shingles
+Each set has a SimHash fingerprint. The trees of simhash.py, one for each of BLOCKS blocks, find fingerprints that differ
+in at most WITHIN bits; what they find is verified on whole sets, so a link never rests on bits alone. But no number of
+bits is sure to hold all pairs of 4/5, so pairs beyond WITHIN come from a prefix filter, which loses none. All shingles
 have one order: those that a sample finds frequent last, the rest by hash. The first common shingle of two sets with
 similarity 4/5 or more has nearly all of both sets behind it, so it stands among the first n - ceil(4n/5) + 1 of each,
 and sizes and places alone rule most pairs of a bucket out. In a bucket every set is first compared with one centre;
@@ -22,9 +24,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.llm.common import least, ship, slices, spill
 from quire.llm.components import components
-from quire.llm.simhash import named_classes, rows_of
+from quire.llm.simhash import leaf_pairs, links as tree_links, majority, named_classes, rows_of
 
 WIDTH = 5
+BLOCKS = 4  # of the fingerprint, a vantage-point tree each
+WITHIN = 7  # bits: in some of 4 blocks such fingerprints differ in at most 1
 SAMPLE = 12_000  # texts whose shingles say what is frequent
 FREQUENT = 1 << 17  # shingles that go last: 2 MB on the driver and in each worker
 SALTS = 64  # over which the bucket of a frequent shingle is dealt
@@ -91,6 +95,11 @@ def odd_bits(of: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def fingerprint(of: np.ndarray) -> int:
+    """The set's SimHash as a signed long, 0 for the empty set."""
+    return int(np.uint64(majority(of)).astype(np.int64)) if len(of) else 0
+
+
 def differ_at_least(a: bytes, b: bytes) -> int:
     """A number of shingles that are in one of the sets alone, from their odd_bits."""
     x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
@@ -132,7 +141,14 @@ def each_set(rows: DataFrame, make, schema: str) -> DataFrame:
 def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of more than two texts of the sample, sorted, and their order. It decides no result."""
     some = rows.where(least(F.col("key"), SAMPLE // 4, rows.count()))
-    tokens = each_set(some, lambda i, k, s: [(x,) for x in s.view(np.int64).tolist()], "token long")
+
+    def run(batches):
+        for batch in slices(batches, "text", 1 << 20):
+            of = [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(of).view(np.int64))], names=["token"])
+
+    ship(rows.sparkSession)
+    tokens = some.mapInArrow(run, "token long")
     found = tokens.groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
     last = np.array([r.token for r in found], np.int64).view(np.uint64)
     order = np.argsort(last)
@@ -238,8 +254,25 @@ def in_filter(words: np.ndarray, fp: int, key: int) -> bool:
     return bool(((words[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1)).all())
 
 
+def found_by_trees(each: DataFrame) -> DataFrame:
+    """Candidates (a, b, n, o) among each(fp, size, sim): sets whose fingerprints are equal, or differ in at most WITHIN bits by the trees.
+
+    Equal fingerprints are paired with one centre, and of the others each with the smallest and the nearest that a leaf
+    holds, so a large group of near-copies costs a few pairs a member.
+    """
+    some = each.where("size > 0").select("sim", F.struct("fp", "size").alias("x"))
+    centres = spill(some.groupBy("sim").agg(F.min("x").alias("centre"), F.count("*").alias("members")), "centres")
+    equal = some.join(centres.where("members > 1"), "sim").where("x != centre").select("centre", "x")
+    near = tree_links(centres.select(F.col("sim").alias("fp")), WITHIN, blocks=BLOCKS, of_leaf=leaf_pairs)
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = near.join(centres.selectExpr("sim AS a", "centre"), "a").join(centres.selectExpr("sim AS b", "centre AS x"), "b").select("centre", "x")
+    return equal.union(near).selectExpr("centre.fp AS a", "x.fp AS b", "centre.size AS n", "x.size AS o")
+
+
 def links(rows: DataFrame, each: DataFrame) -> DataFrame:
-    """rows(doc_id, key, text), each(fp, rep_key, bits): one row of each set -> links (a, b) that connect all pairs of similarity 4/5 or more."""
+    """rows(doc_id, key, text), each(fp, rep_key, bits, size, sim): one row of each set -> links (a, b) that connect all pairs of similarity 4/5 or more."""
+    near = spill(found_by_trees(each), "tree-pairs")
+    each = each.drop("size", "sim")
     bucket = "OVER (PARTITION BY token, salt)"
     centre = "struct(n - behind AS at, fp, n, behind)"  # with the fewest shingles of its own before this one it is the likest to all
     shared = posts(rows).selectExpr("*", f"min({centre}) {bucket} AS low", f"min(fp) {bucket} AS least", f"max(fp) {bucket} AS most")
@@ -250,7 +283,9 @@ def links(rows: DataFrame, each: DataFrame) -> DataFrame:
     roots = shared.where("salt > 0").select("token", "low").distinct().groupBy("token").agg(F.min("low").alias("root"))
     salted = shared.where("salt > 0").join(F.broadcast(roots), "token")  # FREQUENT rows at most, 6 MB
     star = star.union(salted.where("fp != root.fp").selectExpr(*ends.format("root", "").split(", ")))
-    near = spill(verified(spill(possible(star), "star-pairs"), rows, each), "star-links")
+    one_way = [f"IF(a < b, {x}, {y}) AS {x}" for x, y in ("ab", "ba", "no", "on")]
+    near = near.where(reaches(F.least("n", "o"))).union(possible(star)).selectExpr(*one_way).distinct()
+    near = spill(verified(spill(near, "star-pairs"), rows, each), "star-links")
     labels = components(near).withColumnRenamed("v", "fp")
     named = shared.select("token", "fp", "n", "behind").distinct().join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     open_ = named.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("token")
@@ -266,7 +301,9 @@ def links(rows: DataFrame, each: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, key, fp, label, component_id) for every row of docs, as simhash.classes has them; fp stands for the set of shingles."""
     rows = rows_of(docs)
-    fps = spill(each_set(rows, lambda i, k, s: [(i, k, digest(s), odd_bits(s))], "doc_id long, key long, fp long, bits binary"), "fps")
-    each = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("key").alias("rep_key"), F.count("*").alias("n"), F.first("bits").alias("bits"))
-    each = spill(each, "distinct-fps")
-    return named_classes(fps.drop("bits"), each.drop("bits", "rep_key"), spill(links(rows, each.select("fp", "rep_key", "bits")), "links"))
+    made = "doc_id long, key long, fp long, size int, sim long, bits binary"
+    fps = spill(each_set(rows, lambda i, k, s: [(i, k, digest(s), len(s), fingerprint(s), odd_bits(s))], made), "fps")
+    of_set = [F.first(c).alias(c) for c in ("bits", "size", "sim")]
+    each = spill(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("key").alias("rep_key"), F.count("*").alias("n"), *of_set), "distinct-fps")
+    linked = spill(links(rows, each.select("fp", "rep_key", "bits", "size", "sim")), "links")
+    return named_classes(fps.select("doc_id", "key", "fp"), each.select("fp", "rep", "n"), linked)

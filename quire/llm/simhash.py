@@ -45,7 +45,11 @@ def fingerprint(data: bytes, width: int = 4) -> int:
     hashes = word_hashes(data, width)
     if not hashes:
         return 0
-    h = np.array(hashes, np.uint64)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     by_value = np.stack([np.bincount(x, minlength=256) for x in h.view(np.uint8).reshape(-1, 8).T])
     counts = (by_value @ BITS_OF_BYTE).ravel()
     bits = np.packbits(2 * counts > len(h), bitorder="little")
@@ -151,12 +155,10 @@ class Forest:
                 self.up = up
 
 
-def leaf_links(home: np.ndarray, probes: np.ndarray, mask: int, radius: int, within: int, matrix: int = 1 << 21):
-    """A spanning forest, as links (a, b), of the pairs between home and probes that differ in at most within bits."""
+def leaf_hits(home: np.ndarray, probes: np.ndarray, mask: int, radius: int, within: int, matrix: int = 1 << 21):
+    """(probe, home, bits) of the pairs of different fingerprints that differ in at most within bits, a probe's all together and by home."""
     home, probes = np.unique(home), np.unique(probes)
-    every = np.unique(np.concatenate([home, probes]))
-    forest = Forest(len(every))
-    if len(home) and len(every) > 1:
+    if len(home) and len(probes):
         m = np.uint64(mask)
         v1 = home[0]
         v2 = home[np.argmax(np.bitwise_count((home ^ v1) & m))]
@@ -174,22 +176,40 @@ def leaf_links(home: np.ndarray, probes: np.ndarray, mask: int, radius: int, wit
             step = max(1, matrix // len(near))
             for at in range(0, len(rows), step):
                 part = probes[rows[at : at + step]]
-                i, j = np.nonzero(np.bitwise_count(part[:, None] ^ near[None, :]) <= within)
-                x, y = part[i], near[j]
-                other = x != y
-                forest.union(np.searchsorted(every, x[other]), np.searchsorted(every, y[other]))
+                bits = np.bitwise_count(part[:, None] ^ near[None, :])
+                i, j = np.nonzero(bits - np.uint8(1) < within)  # 0 becomes 255
+                yield part[i], near[j], bits[i, j]
+
+
+def leaf_links(home: np.ndarray, probes: np.ndarray, mask: int, radius: int, within: int):
+    """A spanning forest, as links (a, b), of the pairs between home and probes that differ in at most within bits."""
+    every = np.unique(np.concatenate([home, probes]))
+    forest = Forest(len(every))
+    for x, y, _ in leaf_hits(home, probes, mask, radius, within):
+        forest.union(np.searchsorted(every, x), np.searchsorted(every, y))
     child = np.flatnonzero(forest.up != np.arange(len(every)))
     return every[child], every[forest.up[child]]
 
 
-def links(fps: DataFrame, within: int = 4, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
-    """fps(fp long), distinct -> links (a, b): a spanning forest, leaf by leaf, of all pairs that differ in at most within bits."""
+def leaf_pairs(home: np.ndarray, probes: np.ndarray, mask: int, radius: int, within: int):
+    """Of the pairs between home and probes that differ in at most within bits, each probe's with the smallest and with the nearest of home."""
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+    for x, y, bits in leaf_hits(home, probes, mask, radius, within):
+        for order in (slice(None), np.lexsort((bits, x))):
+            at = np.flatnonzero(np.diff(x[order], prepend=~x[order][:1]))
+            out.append((x[order][at], y[order][at]))
+    a, b = (np.concatenate(z) for z in zip(*out, strict=True))
+    return a, b
+
+
+def links(fps: DataFrame, within: int = 4, sample: int = SAMPLE, leaf: int = LEAF, blocks: int = 3, of_leaf=leaf_links) -> DataFrame:
+    """fps(fp long), distinct -> links (a, b), those that of_leaf takes of each leaf: a spanning forest of all pairs that differ in at most within bits."""
     spark = fps.sparkSession
     ship(spark)
     total = fps.count()
     taken = [r.fp for r in fps.where(least(F.xxhash64("fp"), sample // 4, total)).collect()]  # about sample of them, whatever the number of tasks
     picked = np.sort(np.array(taken, np.int64).view(np.uint64))
-    masks = block_masks(within)
+    masks = block_masks(within, blocks)
     radius = within // len(masks)
     leaves = int(min(MOST_LEAVES, max(1, len(picked) // 8), 2 ** max(0, int(np.ceil(np.log2(max(total, 1) / leaf))))))
     trees = [grow(picked, m, leaves, total / max(len(picked), 1), 7 + i) for i, m in enumerate(masks)]
@@ -219,7 +239,7 @@ def links(fps: DataFrame, within: int = 4, sample: int = SAMPLE, leaf: int = LEA
         tree = max(i for i, base in enumerate(offsets[:-1]) if base <= number)
         x = group.column("fp").to_numpy().view(np.uint64)
         home = group.column("home").to_numpy(zero_copy_only=False)
-        a, b = leaf_links(x[home], x, masks[tree], radius, within)
+        a, b = of_leaf(x[home], x, masks[tree], radius, within)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     probes = fps.mapInArrow(probe, "leaf int, salt int, fp long, home boolean")

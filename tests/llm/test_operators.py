@@ -96,6 +96,38 @@ def test_pipeline_drops_all_near_copies(spark):
     assert corpus_pipeline.near_dedup(spark, docs(spark, []), "").count() == 0
 
 
+def test_near_dedup_links_by_fingerprints_and_trees(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 400, 300)]
+    texts = [" ".join(base), " ".join(base).upper(), "an unrelated text that has nothing like it", None]
+    for edits in (1, 2, 3, 6, 12):
+        copy = list(base)
+        for at in rng.integers(0, 300, edits):
+            copy[at] = f"new{at}"
+        texts.append(" ".join(copy))
+    texts.append(" ".join(base[:260]))
+    sets = [near_copies.shingles((t or "").encode().lower()) for t in texts]
+    sims = [near_copies.fingerprint(s) for s in sets]
+    assert sims == [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in s.tolist()) > len(s)) - ((sum(x >> 63 for x in s.tolist()) * 2 > len(s)) << 64) for s in sets]
+    assert near_copies.WITHIN // near_copies.BLOCKS == 1
+    up = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if ((sims[i] ^ sims[j]) & (2**64 - 1)).bit_count() <= 7 and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+            up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+    assert len(set(up)) < len(up) - 2
+    schema = "token long, salt byte, fp long, n int, behind int"
+    monkeypatch.setattr(near_copies, "posts", lambda rows: spark.createDataFrame([], schema))  # the trees alone
+    got = {r.doc_id: r.component_id for r in near_copies.classes(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(up))
+
+
+def test_leaves_pair_each_probe_with_the_smallest_and_the_nearest():
+    home, probes = np.array([8, 9, 31, 1 << 40], np.uint64), np.array([8, 11, 1 << 41], np.uint64)
+    a, b = simhash.leaf_pairs(home, probes, (1 << 64) - 1, 3, 3)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(8, 9), (11, 8), (11, 9), (1 << 41, 8)}  # 2 bits to 8 and to 1 << 40
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(4)
     pool = np.sort(rng.integers(0, 2**63, 40, np.uint64))
