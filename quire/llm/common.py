@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -34,6 +37,26 @@ def least(hashed: Column, wanted: int, total: int) -> Column:
     return hashed <= F.lit(min(most, (1 << 63) - 1))
 
 
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def alone(name: str, let_go: Callable[[], object] | None = None) -> None:
+    """Called by a kernel as it begins: what the kernels of other operators keep in this worker goes, and freed memory goes back to the system.
+
+    Workers outlive stages, so else the caches of all operators of a pipeline add up. let_go empties name's own caches when its turn comes.
+    """
+    others = [_HELD.pop(x) for x in [*_HELD] if x != name]
+    for forget in others:
+        forget()
+    if others:
+        gc.collect()
+    if let_go:
+        _HELD[name] = let_go
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # of the GNU library alone
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of at most most_bytes of text (one row at least), so a worker's memory doesn't follow the batch size."""
     for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.llm.common import least, ship, slices, spill
+from quire.llm.common import alone, least, ship, slices, spill
 from quire.llm.components import components
 from quire.llm.simhash import leaf_pairs, links as tree_links, majority, named_classes, rows_of
 
@@ -127,6 +127,7 @@ def each_set(rows: DataFrame, make, schema: str) -> DataFrame:
     names, types = zip(*[x.split() for x in schema.split(", ")], strict=True)
 
     def run(batches):
+        alone("near_copies")
         for batch in slices(batches, "text", 1 << 20):
             out = []
             for i, k, t in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), strict=True):
@@ -143,6 +144,7 @@ def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     some = rows.where(least(F.col("key"), SAMPLE // 4, rows.count()))
 
     def run(batches):
+        alone("near_copies")
         for batch in slices(batches, "text", 1 << 20):
             of = [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(of).view(np.int64))], names=["token"])
@@ -162,6 +164,7 @@ def posts(rows: DataFrame) -> DataFrame:
     order = spark.sparkContext.broadcast(frequent(rows))
 
     def run(batches):
+        alone("near_copies")
         seen: set[int] = set()  # copies within a task are told apart here; those of different tasks do no harm
         for batch in slices(batches, "text", 1 << 20):
             out = []
@@ -204,6 +207,7 @@ def verified(pairs: DataFrame, rows: DataFrame, each: DataFrame) -> DataFrame:
     y = each.select(F.col("fp").alias("b"), F.col("bits").alias("y"))
 
     def close(batches):
+        alone("near_copies")
         for batch in batches:
             n, o = (batch.column(c).to_numpy() for c in ("n", "o"))
             d = np.array([differ_at_least(p.as_buffer(), q.as_buffer()) for p, q in zip(batch.column("x"), batch.column("y"), strict=True)], np.int64)
@@ -238,6 +242,7 @@ def filter_of(ends: DataFrame) -> np.ndarray:
     size = int(min(FILTER_BITS, 1 << max(16, (16 * ends.count()).bit_length())))
 
     def run(batches):
+        alone("near_copies")
         for batch in batches:
             fp, key = (batch.column(c).to_numpy().astype(np.int64) for c in ("fp", "rep_key"))
             at = np.unique(places(fp, key, size))

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quire.llm.common import ship, slices
+from quire.llm.common import alone, ship, slices
 from quire.llm.pieces import MODEL, SPACE, vocabulary, words
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -276,7 +276,13 @@ def codec(name: str = MODEL) -> Codec:
     return Codec(name, Merges(name) if vocabulary(name).is_bpe else None)
 
 
+def forget() -> None:
+    codec.cache_clear()
+    vocabulary.cache_clear()
+
+
 def encode_batches(batches, name: str):
+    alone("sentencepieces", forget)
     c = codec(name)
     for batch in slices(batches, "text", 2 << 20):
         texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -287,6 +293,7 @@ def encode_batches(batches, name: str):
 
 
 def digest_batches(batches, name: str):
+    alone("sentencepieces", forget)
     c = codec(name)
     for batch in slices(batches, "text", 2 << 20):
         texts = [t or "" for t in batch.column("text").to_pylist()]

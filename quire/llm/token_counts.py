@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.common import least, ship, slices
+from quire.llm.common import alone, least, ship, slices
 from quire.llm.pieces import MODEL, vocabulary, words
 
 SAMPLE = 2000  # different texts, the first by a hash of the text
@@ -89,6 +89,7 @@ def of_worker(name: str, packed) -> Lengths:
 
 
 def count_batches(batches, name: str, packed, limit: int):
+    alone("token_counts", _OF_WORKER.clear)
     lengths = of_worker(name, packed)
     for batch in slices(batches, "text"):
         n_bytes, n_tokens = [], []

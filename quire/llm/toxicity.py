@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.common import ship, slices
+from quire.llm.common import alone, ship, slices
 
 SAMPLE = 1500
 SAMPLE_CHARS = 20_000
@@ -358,6 +358,7 @@ def scorer(model: Model) -> Scorer:
 
 
 def score_batches(batches, model, whole_rows: bool):
+    alone("toxicity", _OF_WORKER.clear)
     s = scorer(model.value)
     for batch in slices(batches, "text", 2 << 20):
         scores = np.array(s.scores([t or "" for t in batch.column("text").to_pylist()]))

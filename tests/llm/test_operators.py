@@ -751,6 +751,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_worker_keeps_the_caches_of_one_operator_alone(spark):
+    class Sent:
+        value = toxicity.fit([], [])
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "text": pa.array(["some words"])})
+    list(toxicity.score_batches([batch], Sent, True))
+    assert toxicity._OF_WORKER
+    first = list(sentencepieces.encode_batches([batch], MODEL))
+    assert not toxicity._OF_WORKER and sentencepieces.codec.cache_info().currsize == 1
+    list(toxicity.score_batches([batch], Sent, True))
+    assert toxicity._OF_WORKER and not sentencepieces.codec.cache_info().currsize and not vocabulary.cache_info().currsize
+    assert list(sentencepieces.encode_batches([batch], MODEL)) == first
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
