@@ -3,12 +3,12 @@
 Each set has a SimHash fingerprint. The trees of simhash.py, one for each of BLOCKS blocks, find fingerprints that differ
 in at most WITHIN bits; what they find is verified on whole sets, so a link never rests on bits alone. But no number of
 bits is sure to hold all pairs of 4/5, so pairs beyond WITHIN come from a prefix filter, which loses none. All shingles
-have one order: those that a sample finds frequent last, the rest by hash. The first common shingle of two sets with
+have one order: those that a share of the texts finds frequent last, the rest by hash. The first common shingle of two sets with
 similarity 4/5 or more has nearly all of both sets behind it, so it stands among the first n - ceil(4n/5) + 1 of each,
 and sizes and places alone rule most pairs of a bucket out. In a bucket every set is first compared with one centre;
 what these links leave in different components is then compared pair by pair within classes of size, so that a large
-group of copies costs a star and not a square. Buckets of frequent shingles are salted, and all of
-their parts also compared with the best of the centres.
+group of copies costs a star and not a square; two sets meet at the first of a run of open shingles that they share, not
+at each. Buckets of crowded shingles are salted, and all of their parts also compared with the best of the centres.
 
 Candidates are verified in two steps. Each set has a bit for every value of a few bits of the hash, set if an odd number
 of shingles has that value: two sets differ in at least as many shingles as in such bits. What passes is compared
@@ -20,8 +20,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quire.llm.bloom import BASE, ONE, filter_of, in_filter, mixed
 from quire.llm.common import alone, least, ship, slices, spill
 from quire.llm.components import components
 from quire.llm.simhash import leaf_pairs, links as tree_links, majority, named_classes, rows_of
@@ -29,28 +30,20 @@ from quire.llm.simhash import leaf_pairs, links as tree_links, majority, named_c
 WIDTH = 5
 BLOCKS = 4  # of the fingerprint, a vantage-point tree each
 WITHIN = 7  # bits: in some of 4 blocks such fingerprints differ in at most 1
-SAMPLE = 12_000  # texts whose shingles say what is frequent
-FREQUENT = 1 << 17  # shingles that go last: 2 MB on the driver and in each worker
-SALTS = 64  # over which the bucket of a frequent shingle is dealt
+SAMPLE = 12_000  # texts at least whose shingles say what is frequent
+SHARE = 8  # and one text of so many: a shingle of some 24 texts is found out, however large the table is
+FREQUENT = 1 << 18  # shingles that go last: 4 MB on the driver and in each worker
+SALTS = 64  # over which the bucket of a crowded shingle is dealt
+CROWD = 1024  # texts from which a shingle is crowded
 MOST_BITS = 1 << 17  # of a set's odd counts
-FILTER_BITS = 1 << 25  # of the filter that says which sets to make again: 4 MB at most, whatever the table's size
 SEEN = 100_000  # sets that a task knows as its own
 TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
-ONE = np.uint64(1)
-BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 OF_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + ONE
 PART = 1 << 20  # bytes that are hashed at once
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
@@ -139,22 +132,54 @@ def each_set(rows: DataFrame, make, schema: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of more than two texts of the sample, sorted, and their order. It decides no result."""
-    some = rows.where(least(F.col("key"), SAMPLE // 4, rows.count()))
+def fresh(batches):
+    """[(digest, set)] of each slice of batches with a column text, without empty sets and copies: those within a task are told apart here; those of different tasks do no harm."""
+    seen: set[int] = set()
+    for batch in slices(batches, "text", 1 << 20):
+        out = []
+        for t in batch.column("text"):
+            s = shingles(t.as_buffer().to_pybytes() if t.is_valid else b"")
+            fp = digest(s)
+            if fp in seen or not len(s):
+                continue
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(fp)
+            out.append((fp, s))
+        if out:
+            yield out
+
+
+def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of more than two texts of the sample, sorted, their order, and the crowded ones among them, sorted. It decides no result.
+
+    If there are more than FREQUENT, the bound on their number of texts goes up until they aren't.
+    """
+    total = rows.count()
+    wanted = max(SAMPLE, total // SHARE)
+    some = rows.where(least(F.col("key"), wanted // 4, total))
 
     def run(batches):
         alone("near_copies")
-        for batch in slices(batches, "text", 1 << 20):
-            of = [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(of).view(np.int64))], names=["token"])
+        for sets in fresh(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s for _, s in sets]).view(np.int64))], names=["token"])
 
     ship(rows.sparkSession)
-    tokens = some.mapInArrow(run, "token long")
-    found = tokens.groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
-    last = np.array([r.token for r in found], np.int64).view(np.uint64)
-    order = np.argsort(last)
-    return last[order], -order  # the most frequent one is the very last
+    found = spill(some.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("texts")).where("texts > 2"), "frequent-shingles")
+    sizes = np.array(found.groupBy("texts").count().orderBy(F.desc("texts")).collect(), np.int64).reshape(-1, 2)
+    enough = sizes[np.cumsum(sizes[:, 1]) <= FREQUENT, 0]
+    got = found.where(F.col("texts") >= int(enough[-1]) if len(enough) else F.lit(False)).toArrow()
+    last, texts = got["token"].to_numpy().astype(np.int64).view(np.uint64), got["texts"].to_numpy().astype(np.int64)
+    by_token = np.argsort(last)
+    last, texts = last[by_token], texts[by_token]
+    rank = np.empty(len(last), np.int64)
+    rank[np.lexsort((last, texts))] = np.arange(len(last))  # the most frequent one is the very last
+    return last, rank, last[texts * (total / min(wanted, max(total, 1))) > CROWD]
+
+
+def among(of: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the shingles are in known, sorted."""
+    return known[np.minimum(np.searchsorted(known, of), len(known) - 1)] == of if len(known) else np.zeros(len(of), bool)
 
 
 def posts(rows: DataFrame) -> DataFrame:
@@ -165,26 +190,18 @@ def posts(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         alone("near_copies")
-        seen: set[int] = set()  # copies within a task are told apart here; those of different tasks do no harm
-        for batch in slices(batches, "text", 1 << 20):
+        last, rank, crowded = order.value
+        for sets in fresh(batches):
             out = []
-            for t in batch.column("text"):
-                s = shingles(t.as_buffer().to_pybytes() if t.is_valid else b"")
-                fp = digest(s)
-                if fp in seen or not len(s):
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(fp)
-                token, late = first(s, *order.value)
-                salt = np.where(late, 1 + fp % SALTS, 0)
+            for fp, s in sets:
+                token, _ = first(s, last, rank)
+                salt = np.where(among(token, crowded), 1 + fp % SALTS, 0)
                 out.append((token, salt, np.full(len(token), fp), np.full(len(token), len(s)), len(s) - np.arange(len(token))))
-            if out:
-                token, salt, fp, n, behind = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token.view(np.int64)), pa.array(salt.astype(np.int8)), pa.array(fp), pa.array(n.astype(np.int32)), pa.array(behind.astype(np.int32))],
-                    names=["token", "salt", "fp", "n", "behind"],
-                )
+            token, salt, fp, n, behind = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(token.view(np.int64)), pa.array(salt.astype(np.int8)), pa.array(fp), pa.array(n.astype(np.int32)), pa.array(behind.astype(np.int32))],
+                names=["token", "salt", "fp", "n", "behind"],
+            )
 
     return rows.mapInArrow(run, "token long, salt byte, fp long, n int, behind int")
 
@@ -220,45 +237,13 @@ def verified(pairs: DataFrame, rows: DataFrame, each: DataFrame) -> DataFrame:
 
     def whole(i, k, s):
         fp = digest(s)
-        return [(fp, s.view(np.int64))] if in_filter(known.value, fp, k) else []
+        return [(fp, s.view(np.int64))] if in_filter(known.value, *np.array([[fp], [k]], np.int64)).all() else []
 
     sets = spill(each_set(rows, whole, "fp long, shingles array<long>").groupBy("fp").agg(F.first("shingles").alias("s")), "sets")
     left, right = sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), sets.select(F.col("fp").alias("b"), F.col("s").alias("y"))
     return pairs.join(left, "a").join(right, "b").where(reaches(F.size(F.array_intersect("x", "y")))).select("a", "b")
 
 
-def places(fp: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
-    """Two bits of a filter of size bits for each set, from its digest and the key of the text that stands for it."""
-    with np.errstate(over="ignore"):
-        h = mixed(fp.view(np.uint64) + mixed(key.view(np.uint64) * BASE + ONE))
-    return np.stack([h & np.uint64(size - 1), (h >> np.uint64(32)) & np.uint64(size - 1)]).astype(np.int64)
-
-
-def filter_of(ends: DataFrame) -> np.ndarray:
-    """A Bloom filter of ends(fp, rep_key), 16 bits an entry and FILTER_BITS at most, as bytes.
-
-    Too full a filter lets other sets pass; they are made and shuffled too, but no pair refers to them.
-    """
-    size = int(min(FILTER_BITS, 1 << max(16, (16 * ends.count()).bit_length())))
-
-    def run(batches):
-        alone("near_copies")
-        for batch in batches:
-            fp, key = (batch.column(c).to_numpy().astype(np.int64) for c in ("fp", "rep_key"))
-            at = np.unique(places(fp, key, size))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], names=["word", "bit"])
-
-    words = ends.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(size >> 5, np.uint32)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    return out
-
-
-def in_filter(words: np.ndarray, fp: int, key: int) -> bool:
-    at = places(np.array([fp], np.int64), np.array([key], np.int64), len(words) << 5).ravel()
-    return bool(((words[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1)).all())
-
-
 def found_by_trees(each: DataFrame) -> DataFrame:
     """Candidates (a, b, n, o) among each(fp, size, sim): sets whose fingerprints are equal, or differ in at most WITHIN bits by the trees.
 
@@ -295,10 +280,12 @@ def links(rows: DataFrame, each: DataFrame) -> DataFrame:
     named = shared.select("token", "fp", "n", "behind").distinct().join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     open_ = named.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("token")
     size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.26)))  # similar sizes are in one class or in two neighbours
-    named = spill(named.join(open_, "token").withColumn("size", size), "open-shingles")
-    x = named.withColumn("size", F.explode(F.array(F.col("size"), F.col("size") + 1))).toDF("token", "a", "n", "behind", "l", "size")
-    y = named.toDF("token", "b", "o", "behind_b", "h", "size")
-    rest = possible(x.join(y, ["token", "size"]).where("l != h AND (n < o OR (n = o AND a < b))"))
+    before = F.lag("token").over(Window.partitionBy("fp").orderBy(F.desc("behind")))
+    named = spill(named.join(open_, "token").withColumns({"size": size, "before": before}), "open-shingles")
+    x = named.withColumn("size", F.explode(F.array(F.col("size"), F.col("size") + 1))).toDF("token", "a", "n", "behind", "l", "size", "before")
+    y = named.toDF("token", "b", "o", "behind_b", "h", "size", "before_b")
+    # two sets that have the same open shingle before this one meet there, with more behind them
+    rest = possible(x.join(y, ["token", "size"]).where("l != h AND (n < o OR (n = o AND a < b)) AND coalesce(before != before_b, true)"))
     rest = spill(rest, "rest-pairs")
     return near.union(verified(rest, rows, each)) if rest.limit(1).count() else near
 

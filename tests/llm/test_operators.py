@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import cover_tree, graph_search, language_id, mixing, near_copies, secrets, sentencepieces, simhash, token_counts, toxicity, warc
+from quire.llm import bloom, cover_tree, graph_search, language_id, mixing, near_copies, secrets, sentencepieces, simhash, token_counts, toxicity, warc
 from quire.llm.common import least
 from quire.llm.pieces import MODEL, SPACE, model_type, vocabulary
 
@@ -166,6 +166,61 @@ def test_shingles_and_odd_bits():
     assert near_copies.differ_at_least(near_copies.odd_bits(x), near_copies.odd_bits(x)) == 0
 
 
+def test_texts_that_stay_are_not_shuffled(spark):
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(97, 123, 20_000))) for _ in range(200)]
+    table = docs(spark, [*texts, texts[0], texts[1]])
+    found = simhash.rows_of(table).selectExpr("doc_id", "key", "key AS label")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the table of copies is too large
+    try:
+        before = store.executorSummary("driver").totalShuffleWrite()
+        kept = simhash.keep_one(table, found=found).collect()
+        after = store.executorSummary("driver").totalShuffleWrite()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted(r.doc_id for r in kept) == list(range(200))
+    assert after - before < 500_000  # of 4 MB of texts
+
+
+def test_sets_with_many_common_shingles_meet_once(spark, monkeypatch):
+    common = [f"c{i}" for i in range(60)]
+    texts = [" ".join([*common, *(f"t{i}x{j}" for j in range(90))]) for i in range(12)]
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(near_copies, "frequent", lambda rows: (none.view(np.uint64), none, none.view(np.uint64)))
+    met, possible = [], near_copies.possible
+
+    def spied(pairs):
+        met.append(sorted((r.a, r.b) for r in pairs.where(near_copies.reaches(F.least("behind", "behind_b"))).select("a", "b").collect()))
+        return possible(pairs)
+
+    monkeypatch.setattr(near_copies, "possible", spied)
+    assert near_copies.classes(docs(spark, texts)).where("doc_id != component_id").count() == 0
+    assert len(set(met[-1])) > 40
+    assert len(met[-1]) < 1.5 * len(set(met[-1]))
+
+
+def test_frequent_shingles_are_found_by_a_share_of_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SAMPLE", 8)
+    texts = [f"line{i % 10} of five common words " + " ".join(f"t{i}x{j}" for j in range(9)) for i in range(640)]
+    got = set(near_copies.frequent(simhash.rows_of(docs(spark, texts)))[0].tolist())
+    assert {int(near_copies.shingles(f"line{k} of five common words".encode())[0]) for k in range(10)} <= got
+    rare = set(near_copies.shingles(texts[0].encode()).tolist()) - {int(near_copies.shingles(b"line0 of five common words")[0])}
+    assert not rare & got
+    monkeypatch.setattr(near_copies, "FREQUENT", 3)
+    last, rank, crowded = near_copies.frequent(simhash.rows_of(docs(spark, texts)))
+    assert len(last) == len(rank) <= 3 and not len(crowded)
+
+
+def test_filter_holds_all_its_rows(spark):
+    rows = spark.createDataFrame([(i if i % 7 else None, i * i) for i in range(3000)], "a long, b long")
+    other = rows.selectExpr("a", "-1 - b AS b")
+    mark = bloom.maybe_in(rows, F.col("a"), F.col("b"))
+    assert rows.where(mark).count() == 3000
+    assert other.where(mark).count() < 300
+
+
 def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
     texts = [PROSE, "a quite different text of seven words here", PROSE, "an unrelated text that has nothing like it", "an unrelated text that has nothing like it", PROSE, PROSE]
     table = docs(spark, texts, ids=[2, 7, 7, 5, 5, None, None])
