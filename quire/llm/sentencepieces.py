@@ -13,7 +13,7 @@ longer one must be a neighbour that merges leave apart (class Merges). The ids a
 
 from __future__ import annotations
 
-from functools import cache, partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -58,20 +58,35 @@ class Encoder:
         self.ids = v.ids[order].astype(np.int32)
         self.scores = v.scores[self.ids]
         self.longest = max(len(v.pieces[i]) for i in v.ids.tolist())
-        # a first probe: most substrings' hashes are no piece's, and a table of 2^20 bits says so
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        # a first probe: most substrings' hashes are no piece's, and a table of 2^20 bits says so; the others' bits tell where to look
+        slot = (self.keys >> np.uint64(44)).astype(np.int64)
+        many = np.bincount(slot, minlength=1 << 20)
+        self.bits = many > 0
+        self.start = (np.cumsum(many) - many).astype(np.int32)
+        self.most = int(many.max(initial=0))
         self.unknown = float(v.scores[v.ids].min()) - 10
+        self.byte_ids, self.chars = v.byte_ids.tolist(), {}
 
     def probe(self, h: np.ndarray) -> np.ndarray:
         """The pieces' places among the sorted keys, or -1."""
         out = np.full(len(h), -1, np.int64)
-        maybe = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
-        hit = self.keys[at] == h[maybe]
-        out[maybe[hit]] = at[hit]
+        maybe, at = self.hits(h)
+        out[maybe] = at
         return out
 
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are pieces', in order, and the pieces' places among the sorted keys."""
+        slot = (h >> np.uint64(44)).view(np.int64)
+        maybe = np.flatnonzero(self.bits[slot])
+        at = self.start[slot[maybe]]
+        asked = h[maybe]
+        hit = self.keys[at] == asked
+        for _ in range(self.most - 1):  # keys that share a slot stand one after the other
+            miss = np.flatnonzero(~hit)
+            at[miss] = np.minimum(at[miss] + 1, len(self.keys) - 1)
+            hit[miss] = self.keys[at[miss]] == asked[miss]
+        return maybe[hit], at[hit]
+
     def gains(self, found: np.ndarray, before: np.ndarray) -> np.ndarray:
         """[words, starts] what the pieces found (-1: none) add behind the pieces before (-1: none, -2: the start); -inf where they can't stand."""
         score = np.where(found >= 0, self.scores[found], -np.inf)
@@ -89,6 +104,7 @@ class Encoder:
         piece = np.full((n, length + 1), -1, np.int32)
         piece[:, 0] = -2
         ends = np.zeros((n, most + 1), np.uint64)  # of the substring of each size that ends here
+        rows = np.arange(n)
         with np.errstate(over="ignore"):
             for end in range(1, length + 1):
                 sizes = min(end, most)
@@ -96,7 +112,6 @@ class Encoder:
                 found = self.probe(ends[:, sizes:0:-1].ravel()).reshape(n, sizes)  # longest first
                 score = self.gains(found, piece[:, end - sizes : end]) + best[:, end - sizes : end]
                 pick = score.argmax(axis=1)
-                rows = np.arange(n)
                 best[:, end] = score[rows, pick]
                 back[:, end] = end - sizes + pick
                 place = found[rows, pick]
@@ -128,12 +143,18 @@ class Encoder:
                 out.append(i)
                 at += len(self.v.pieces[i])
                 continue
-            raw = chr(chars[at]).encode("utf-8", "surrogatepass")
-            of_bytes = self.v.byte_ids[list(raw)]
-            out.extend(of_bytes.tolist() if (of_bytes >= 0).all() else [self.v.unknown])
+            out.extend(self.of_char(int(chars[at])))
             at += 1
         return np.array(out, "<i4").tobytes()
 
+    def of_char(self, point: int) -> list[int]:
+        """The ids of a character that no piece covers."""
+        found = self.chars.get(point)
+        if found is None:
+            of_bytes = [self.byte_ids[b] for b in chr(point).encode("utf-8", "surrogatepass")]
+            found = self.chars[point] = of_bytes if min(of_bytes) >= 0 else [self.v.unknown]
+        return found
+
     def words(self, new: list[str]) -> dict[str, bytes]:
         by_length: dict[int, list[str]] = {}
         for w in new:
@@ -243,6 +264,36 @@ class Merges(Encoder):
         return out
 
 
+    def equal_lengths(self, chars: np.ndarray) -> list[bytes]:
+        """As Encoder's: of each prefix only the pieces found are looked at, and of those the one that can end it is taken without a maximum."""
+        n, length = chars.shape
+        mixed = mix(chars).T
+        most = min(self.longest, length)
+        back = np.zeros((length + 1, n), np.int32)  # by place, so that a step works on rows that lie together
+        piece = np.full((length + 1, n), -1, np.int32)
+        piece[0] = -2
+        ends = np.zeros((most + 1, n), np.uint64)
+        with np.errstate(over="ignore"):
+            for end in range(1, length + 1):
+                sizes = min(end, most)
+                ends[1 : sizes + 1] = ends[:sizes] * BASE + mixed[end - 1]
+                found, at = self.hits(ends[1 : sizes + 1].ravel())
+                less, row = np.divmod(found, n)
+                this, last = self.ids[at], piece[end - 1 - less, row]
+                fine = np.where(last == -2, self.whole[this], True)
+                pair = np.flatnonzero(last >= 0)
+                fine[pair] = self.apart(last[pair], this[pair])
+                bare = np.ones(n, bool)  # the character itself is no piece
+                bare[row[less == 0]] = False
+                bare = np.flatnonzero(bare)
+                row, less, this = row[fine], less[fine], this[fine]
+                if len(row) + len(bare) != n or (np.bincount(row, minlength=n).max(initial=0) > 1):
+                    return super().equal_lengths(chars)  # not one way for each prefix: by the maximum
+                back[end, row], piece[end, row] = end - 1 - less, this
+                back[end, bare] = end - 1
+        return self.followed(chars, back.T, piece.T)
+
+
 class Codec:
     """An encoder, that of unigram models if none is given, with a cache of words; one a process."""
 
@@ -252,15 +303,14 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [words(t) for t in texts]
         every = set().union(*cut)
-        new = {w for w in every if w not in self.known}
+        new = every.difference(self.known)
         if len(self.known) + len(new) > CACHE:  # the older half goes, but for what is still in use
             self.old, self.known, new = self.known, {}, every
-        got = {w: self.old[w] for w in new if w in self.old}
-        fresh = list(new - got.keys())
-        got.update(self.encoder.words(fresh) if fresh else {})
-        self.known.update(got)
+        fresh = list(new.difference(self.old))
+        self.known.update((w, self.old[w]) for w in new.difference(fresh))
+        self.known.update(self.encoder.words(fresh) if fresh else {})
         out = [b"".join(map(self.known.__getitem__, ws)) for ws in cut]
-        for w in new:
+        for w in fresh:
             if len(w) > LONG:
                 del self.known[w]
         return out
@@ -271,7 +321,7 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
-@cache
+@lru_cache(maxsize=1)
 def codec(name: str = MODEL) -> Codec:
     return Codec(name, Merges(name) if vocabulary(name).is_bpe else None)
 

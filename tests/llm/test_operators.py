@@ -796,6 +796,19 @@ def test_secrets_of_many_matches(spark, monkeypatch):
         assert clean[4].text == "clean" and clean[5].text is None
 
 
+def test_sentencepieces_take_the_one_way_without_search_or_maximum(monkeypatch):
+    encoder = sentencepieces.Merges(MODEL)
+    of = [" the", " seventeen", " unbelievable", " naïve", " 日本語x", "  two", " \U0001f600a", " zzzzqqqxw", " internationalisation"]
+    plain = {}
+    for w in of:
+        chars = sentencepieces.code_points(w.replace(" ", SPACE)).reshape(1, -1)
+        plain[w] = sentencepieces.Encoder.equal_lengths(encoder, chars)[0]
+    encoder.words(of)  # the pairs' answers are known from here on
+    monkeypatch.setattr(np, "searchsorted", None)
+    monkeypatch.setattr(sentencepieces.Merges, "gains", None)
+    assert encoder.words(of) == plain
+
+
 def test_components(spark):
     from quire.llm.components import components
 
