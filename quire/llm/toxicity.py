@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from functools import cache, partial
 from itertools import combinations
@@ -155,7 +156,7 @@ def choose(counts: list[Counter], labels: np.ndarray) -> list[str]:
     texts_with: Counter = Counter()
     for words in counts:
         texts_with.update({m[:size] for w in words for m in (f"^{w}$",) for size in range(5, min(len(m), 9) + 1)})
-    rate: dict[str, list] = {s: [] for s, n in texts_with.items() if n >= 5}
+    rate = {s: (array("i"), array("d")) for s, n in texts_with.items() if n >= 5}  # texts and rates; as tuples they took most of the driver's memory
     del texts_with
     for i, words in enumerate(counts):
         n = sum(words.values()) + SHRINK
@@ -166,12 +167,12 @@ def choose(counts: list[Counter], labels: np.ndarray) -> list[str]:
                 if marked[:size] in rate:
                     mine[marked[:size]] += k
         for s, k in mine.items():
-            rate[s].append((i, min(k / n, CLIP)))
+            rate[s][0].append(i)
+            rate[s][1].append(min(k / n, CLIP))
     n1, n0 = max(1, labels.sum()), max(1, (1 - labels).sum())
     scored = []
-    for s, found in rate.items():
-        rows = np.array([i for i, _ in found])
-        x = np.array([r for _, r in found])
+    for s, (texts, rates) in rate.items():
+        rows, x = np.array(texts), np.array(rates)
         y = labels[rows] == 1
         m1, m0 = x[y].sum() / n1, x[~y].sum() / n0
         v1, v0 = (x[y] ** 2).sum() / n1 - m1**2, (x[~y] ** 2).sum() / n0 - m0**2
@@ -338,7 +339,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ]
     if not ids:
         return fit([], [])
-    picked = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")  # two samples at most
+    columns = [pa.array(c, t) for c, t in zip(zip(*ids, strict=True), (pa.int64(), pa.int32()), strict=True)]
+    # two samples at most; from an Arrow table, since rows would go through Python workers of another kind, kept beside those of the kernels
+    picked = docs.sparkSession.createDataFrame(pa.table(columns, names=["doc_id", "toxic"]))
     rows = docs.where(short).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
     rows = sorted(rows, key=lambda r: (-r.toxic, zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))

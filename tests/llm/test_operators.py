@@ -833,6 +833,34 @@ def test_a_worker_keeps_the_caches_of_one_operator_alone(spark):
     assert list(sentencepieces.encode_batches([batch], MODEL)) == first
 
 
+def test_batches_for_kernels_are_bounded_by_bytes(spark):
+    toxicity.toxicity(spark.createDataFrame([(1, "x")], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int"))
+    wide = spark.range(0, 8000, 1, 1).selectExpr("id", "repeat('abcdefgh', 500) AS text")
+    sizes = wide.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "bytes": [b.nbytes]}) for b in batches), "n long, bytes long").collect()
+    assert sum(x.n for x in sizes) == 8000 and max(x.bytes for x in sizes) < 5 << 20
+
+
+def test_toxicity_trains_without_workers_for_rows_of_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some words of document {i} " * 9 + "awful " * (i % 2)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    before = toxicity.train(docs, labels)
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    assert toxicity.train(docs, labels).key() == before.key() and len(before.landmarks) > 1
+
+
+def test_toxicity_chooses_landmarks_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    every = [f"{i:04d}words" for i in range(1500)]
+    counts = [toxicity.Counter(rng.choice(every, 150, replace=False).tolist()) for _ in range(600)]
+    tracemalloc.start()
+    toxicity.choose(counts, np.arange(600) % 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
